@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import packing, quality_rules
+from lexatlas.llm import packing, pii, quality_rules
 
 QUERIES = {
     "op6_cost_balanced_packing": packing.op6,
+    "op8_semi_markov_pii": pii.op8,
     "op10_quality_rule_ensemble": quality_rules.op10,
 }
 ORACLES: dict[str, str] = {}
