@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import packing, pii, quality_rules
+from lexatlas.llm import packing, pii, quality_rules, topk
 
 QUERIES = {
+    "op4_norm_sorted_top_k": topk.op4,
     "op6_cost_balanced_packing": packing.op6,
     "op8_semi_markov_pii": pii.op8,
     "op10_quality_rule_ensemble": quality_rules.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_norm_sorted_top_k": topk.OP4_SQL,
+}
