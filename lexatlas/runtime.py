@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,16 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir, or a
     temporary one that this function configures where the setting is absent
     (single-machine tests)."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    configured = spark.conf.get("spark.checkpoint.dir", configured)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="lexatlas-shared-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", sc.getConf().get("spark.checkpoint.dir", None))
+    if not configured:
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexatlas-shared-"))
+            current = sc._jsc.sc().getCheckpointDir()
+        configured = current.get()
+    path = sc._jvm.org.apache.hadoop.fs.Path(configured)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
