@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import packing, pii, quality_rules, topk
+from lexatlas.llm import packing, pii, quality_rules, topk, warc
 
 QUERIES = {
     "op4_norm_sorted_top_k": topk.op4,
     "op6_cost_balanced_packing": packing.op6,
     "op8_semi_markov_pii": pii.op8,
+    "op9_warc_gzip_normaliser": warc.op9,
     "op10_quality_rule_ensemble": quality_rules.op10,
 }
 ORACLES: dict[str, str] = {
     "op4_norm_sorted_top_k": topk.OP4_SQL,
+    "op9_warc_gzip_normaliser": warc.OP9_SQL,
 }
