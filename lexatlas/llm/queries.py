@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexatlas.llm import decontaminate, packing, pii, quality_rules, topk, warc
+from lexatlas.llm import decontaminate, ngram_join, packing, pii, quality_rules, topk, warc
 
 QUERIES = {
+    "op1_signature_tree_jaccard_join": ngram_join.op1,
     "op3_block_max_wand_decontamination": decontaminate.op3,
     "op4_norm_sorted_top_k": topk.op4,
     "op6_cost_balanced_packing": packing.op6,
