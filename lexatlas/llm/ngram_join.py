@@ -467,11 +467,33 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat that id stay once. Rows without an id and documents without words all stay.
     """
     found = materialize(near_duplicates(docs), "components")
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    gone = found.where("doc_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
+    kept = without(docs, gone)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return kept
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone``.
+
+    A bit array of fixed size tells most rows that they stay; only the others are shuffled for the exact anti-join.
+    """
+    names = docs.columns
+    table = _filter(gone.select(F.xxhash64("doc_id").alias("cls")))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    key = f"c{names.index('doc_id')}"
+
+    def part(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = np.array([_in_filter(table, h) for h in batch.column(len(names)).to_pylist()], bool)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit == inside)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+        return inner.withColumn("h", F.xxhash64(key)).mapInArrow(run, kinds).toDF(*names)
+
+    return part(False).unionByName(part(True).join(gone, "doc_id", "left_anti").select(*names))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
