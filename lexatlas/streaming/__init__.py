@@ -1 +1 @@
-
+"""Reserved: the pipelines of this engine are batch plans; none of them has a stream."""
