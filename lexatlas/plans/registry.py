@@ -111,7 +111,7 @@ def e4_dummy_broaders(spark, sf):
     return p.select("p_partkey", F.explode(linking.dummy_broaders(F.col("entity"))).alias("broader"))
 
 
-@query("e5_type_broaders", f"with {d.SQL_MENTIONS} select distinct ne as entity, tag as broader from mentions where tag is not null")
+@query("e5_type_broaders", f"with {d.SQL_MENTIONS} select distinct m.ne as entity, t.tag as broader from mentions m join mentions t on t.ne = split_part(m.ne, '##', 1) where t.tag is not null")
 def e5_type_broaders(spark, sf):
     m = d.mentions(spark, sf).withColumn("uri", F.col("ne"))
     return linking.TypeLinker(m).broaders(m.select(F.col("ne").alias("entity")).distinct())
