@@ -31,9 +31,9 @@ def extract_mentions(arrays: DataFrame, key: str = "doc_id", width: int = 25) ->
     the closing token included; offsets are half-open code points.
     """
     last = F.size("forms") - 1
-    outside = F.filter(F.sequence(F.lit(0), last), lambda i: F.col("tags")[i][0].isin(*OUTSIDE))
+    outside = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(F.get("tags", i), F.lit(0)).isin(*OUTSIDE))
     gaps = F.zip_with(F.concat(F.array(F.lit(-1)), F.slice("o", 1, F.greatest(F.size("o") - 1, F.lit(0)))), F.col("o"), lambda a, b: F.struct(a.alias("a"), b.alias("i")))
-    rows = _once(_once(arrays, [key], ["forms", "tags"]).withColumn("o", outside), [key], ["forms", "tags", "o"]).where(F.size("o") > 0)
+    rows = _once(_once(arrays.where(F.size("forms") > 0), [key], ["forms", "tags"]).withColumn("o", outside), [key], ["forms", "tags", "o"]).where(F.size("o") > 0)
     runs = rows.select(key, "forms", "tags", F.explode(F.filter(gaps, lambda g: g["i"] - g["a"] > 1)).alias("g"))
     filled = F.filter(F.sequence(F.col("g.a") + 1, F.col("g.i") - 1), lambda j: ~is_blank(F.col("forms")[j]))
     runs = runs.withColumn("w", filled).where(F.size("w") > 0)

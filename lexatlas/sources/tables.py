@@ -43,10 +43,10 @@ def surface_forms(mentions: DataFrame, order: str = "mention_id") -> DataFrame:
     return named.groupBy("uri").agg(F.min_by("surface", order).alias("surface"))
 
 
-def read_senses(spark: SparkSession, path: str) -> DataFrame:
-    """entity, sense_ix (null for a single sense), descriptors of a JSON map file."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "descriptors"))
+def read_senses(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """entity, sense_ix (null for a single sense), descriptors of JSON maps, one per line or (``lines`` false) one per file."""
+    maps = spark.read.text(path, wholetext=not lines)
+    rows = maps.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "descriptors"))
     index = F.when(F.col("key").contains("##"), F.substring_index("key", "##", -1).cast("int"))
     return rows.select(F.substring_index("key", "##", 1).alias("entity"), index.alias("sense_ix"), "descriptors")
 
@@ -54,7 +54,7 @@ def read_senses(spark: SparkSession, path: str) -> DataFrame:
 def senses_json(senses: DataFrame) -> DataFrame:
     """entity, json: one JSON object per entity; the key gets ``##i`` only where an entity has several senses.
 
-    Rows stay apart, so the file may have any size; ``write_senses`` writes them as one JSON map per file part.
+    Rows stay apart, so a table of any size can be written, one JSON map per line.
     """
     many = F.count("*").over(Window.partitionBy("entity")) > 1
     keyed = senses.withColumn("key", F.when(many, F.concat_ws("##", "entity", "sense_ix")).otherwise(F.col("entity")))
