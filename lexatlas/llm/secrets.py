@@ -21,8 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEY = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_=-]*+[0-9])[{_KEY}]{{12,}}+"
+_KEY = "A-Za-z0-9+/_-"
+CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])[{_KEY}]{{12,}}+={{0,2}}"
 NEIGHBOURHOOD = 40
 
 #: Fixed word lists of the features.
