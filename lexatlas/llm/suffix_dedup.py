@@ -12,7 +12,8 @@ offset o exactly when their common left part reaches o and their common right
 part reaches length - o; in suffix order that is a numbering of runs, so the
 earliest occurrence of every string is found offset by offset.
 
-A task first settles what it can among its own documents and passes on only
+Documents whose whole text an earlier one has are known from text hashes and
+take no part further. A task first settles what it can among its own documents and passes on only
 strings it has not seen, so a passage in a third of all rows costs one row per
 batch. Anchors in more than HOT places are dealt by the bytes that all strings
 of a few offsets have in common, so no group grows with the table.
@@ -38,7 +39,7 @@ from lexatlas.llm import textkernel as tk
 from lexatlas.runtime import materialize, ship_package
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 #: k-gram positions of one string.
 WINDOW = LENGTH - GRAM + 1
 SHALLOW = 24
@@ -47,6 +48,8 @@ HOT = 4096
 STRIDE = 12
 #: Occurrences sorted at a time.
 HOLD = 20_000
+#: Names of documents (8 bytes each) that may travel to every task; more of them are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -208,31 +211,35 @@ def _hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), signed=True)
 
 
-def _name(doc_id, data: np.ndarray) -> tuple[int, int]:
-    """(document name, text hash), signed 64-bit."""
-    text = tk.span_hash(tk.rolling(data), np.array([0]), np.array([len(data)]))
-    own = doc_id if isinstance(doc_id, int) else _hash64(repr(doc_id).encode())
-    mixed = tk.mix(text ^ tk.mix(np.array([own & 0xFFFFFFFFFFFFFFFF], np.uint64) + tk.U64(1)))
-    return int(mixed.view(np.int64)[0]), int(text.view(np.int64)[0])
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty), k (name of the row by id and text), t and u (hashes of the text), n (bytes)."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"))
+    return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"), F.xxhash64("text").alias("t"), F.hash("text").alias("u"), F.octet_length("text").cast("long").alias("n"))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
-    offsets, data = tk.flat(batch.column(1))
-    for r, key in enumerate(batch.column(0).to_pylist()):
-        yield key, data[offsets[r] : offsets[r + 1]]
+def later_copies(rows: DataFrame) -> DataFrame:
+    """k of the documents of at least LENGTH bytes whose whole text an earlier document has."""
+    meta = rows.where(F.col("n") >= LENGTH).select("doc_id", "k", "t", "u", "n")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    first = meta.groupBy("t", "u", "n").agg(F.min(order).alias("f"), F.countDistinct("k").alias("c")).where("c > 1").select("t", "u", "n", F.col("f.k").alias("first"))
+    return materialize(meta.join(first, ["t", "u", "n"]).where("k <> first").select("k").distinct(), "copies")
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(hash, k, place): place packs position, lowest and highest offset."""
+def small(keys: DataFrame) -> DataFrame:
+    """``keys`` for a broadcast where their number is bounded; else as they are."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
+
+
+def anchor_rows(rows: DataFrame) -> DataFrame:
+    """(hash, k, place) of named rows: place packs position, lowest and highest offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            offsets, data = tk.flat(batch.column(1))
             held, n = [], 0
-            for doc_id, data in _texts(batch):
-                if len(data) < LENGTH:
-                    continue
-                k, _ = _name(doc_id, data)
-                h, p, low, high = anchors(data)
+            for r, k in enumerate(batch.column(0).to_pylist()):
+                h, p, low, high = anchors(data[offsets[r] : offsets[r + 1]])
                 held.append((h.view(np.int64), np.full(len(h), k), p << 14 | low << 7 | high))
                 n += len(h)
                 if n > 1 << 17:
@@ -241,7 +248,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["hash", "k", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash long, k long, place long")
+    return rows.where(F.col("n") >= LENGTH).select("k", "text").mapInArrow(run, "hash long, k long, place long")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
@@ -315,9 +322,9 @@ class Occurrences:
         return spans, stay
 
 
-_ROW = [("kind", pa.int8()), ("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("sha", pa.string())]
-_ROW_SQL = "kind byte, k long, a long, b long, c long, d long, e long, left binary, right binary, sha string"
-_DONE, _TEXT, _SPAN, _OPEN = range(4)
+_ROW = [("kind", pa.int8()), ("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("e", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
+_ROW_SQL = "kind byte, k long, a long, b long, c long, d long, e long, left binary, right binary"
+_TEXT, _SPAN, _OPEN = range(3)
 
 
 def _batch(key: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
@@ -340,22 +347,18 @@ def _surroundings(doc_id, text: int, k: int, data: bytes, places: list[dict]) ->
             yield (group, doc_id, text, k, p, a, b, data[p - b : p][::-1], data[p : p - a + LENGTH])
 
 
-def first_pass(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """Settle each task's own documents: rows of kind done, text, span and open."""
+def first_pass(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Settle each task's own documents (doc_id, text, k, t) by their repeated anchors (k, places): rows of kind text, span and open."""
     import zstandard
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            names, texts, blobs = [], [], []
-            for doc_id, data in _texts(batch):
-                k, t = _name(doc_id, data)
-                names.append(k)
-                texts.append(t)
-                blobs.append(z.compress(data.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(texts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "k", "t", "z"])
+            offsets, data = tk.flat(batch.column(1))
+            blobs = [z.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(blobs, pa.binary())], names=["doc_id", "k", "t", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -364,35 +367,41 @@ def first_pass(docs: DataFrame, repeats: DataFrame) -> DataFrame:
 
         def settled() -> list[tuple]:
             spans, stay = held.settle()
-            rows = [(None, _SPAN, k, a, b, None, None, None, None, None, None) for k, a, b in spans]
-            return rows + [(r[1], _OPEN, r[3], r[0], r[2], r[4], r[5], r[6], r[7], r[8], None) for r in stay]
+            out = [(None, _SPAN, k, a, b, None, None, None, None, None) for k, a, b in by_name(spans)]
+            return out + [(r[1], _OPEN, r[3], r[0], r[2], r[4], r[5], r[6], r[7], r[8]) for r in stay]
 
         for batch in batches:
             key = batch.schema.field(0).type
-            rows: list[tuple] = []
+            out: list[tuple] = []
             for doc_id, k, t, blob, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = z.decompress(blob)
-                if not places:
-                    rows.append((doc_id, _DONE, k, len(data), None, None, None, None, None, None, hashlib.sha256(data).hexdigest()))
-                    continue
-                rows.append((doc_id, _TEXT, k, len(data), None, None, None, None, blob, None, None))
+                out.append((doc_id, _TEXT, k, None, None, None, None, None, blob, None))
                 held.rows += _surroundings(doc_id, t, k, data, places)
                 if len(held.rows) >= HOLD:
-                    rows += settled()
-                if len(rows) > 4 * HOLD:
-                    yield _batch(key, rows)
-                    rows = []
-            if rows:
-                yield _batch(key, rows)
-        if rows := settled():
-            yield _batch(key, rows)
-
-    lists = repeats.groupBy("k").agg(F.collect_list(F.struct("place", "hash", "hot")).alias("places"))
-    texts = docs.select("doc_id", "text").mapInArrow(packed, f"doc_id {kind}, k long, t long, z binary")
-    joined = texts.join(lists, "k", "left").select("doc_id", "k", "t", "z", "places")
+                    out += settled()
+                if len(out) > 2 * HOLD:
+                    yield _batch(key, out)
+                    out = []
+            if out:
+                yield _batch(key, out)
+        if out := settled():
+            yield _batch(key, out)
+
+    texts = rows.select("doc_id", "text", "k", "t").mapInArrow(packed, f"doc_id {kind}, k long, t long, z binary")
+    joined = texts.join(lists, "k").select("doc_id", "k", "t", "z", "places")
     return materialize(joined.mapInArrow(run, f"doc_id {kind}, {_ROW_SQL}"), "first-pass")
 
 
+def by_name(spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(k, start, end) with each document's spans merged."""
+    own: dict[int, list[tuple[int, int]]] = {}
+    for k, a, b in spans:
+        own.setdefault(k, []).append((a, b))
+    for k, found in own.items():
+        for a, b in merged(found):
+            yield k, a, b
+
+
 def second_pass(opened: DataFrame) -> DataFrame:
     """(k, a, b): spans among what the tasks of the first pass left open."""
 
@@ -400,7 +409,8 @@ def second_pass(opened: DataFrame) -> DataFrame:
         held = Occurrences()
         at = None
 
-        def out(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            spans = list(by_name(found))
             return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], names=["k", "a", "b"])
 
         for batch in batches:
@@ -439,11 +449,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     import zstandard
 
     ship_package(docs.sparkSession)
-    repeats = repeated_anchors(anchor_rows(docs))
-    found = first_pass(docs, repeats)
+    rows = named(docs)
+    copies = small(later_copies(rows))
+    active = rows.join(copies, "k", "left_anti")
+    lists = repeated_anchors(anchor_rows(active)).groupBy("k").agg(F.collect_list(F.struct("place", "hash", "hot")).alias("places"))
+    lists = materialize(lists, "repeated-anchors")
+    held = small(lists.select("k"))
+    found = first_pass(active.join(held, "k", "left_semi"), lists)
     spans = found.where(f"kind = {_SPAN}").select("k", "a", "b").unionByName(second_pass(found.where(f"kind = {_OPEN}")))
-    lists = spans.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = found.where(f"kind = {_TEXT}").select("doc_id", "k", F.col("left").alias("z")).join(lists, "k", "left").select("doc_id", "z", "spans")
+    joined = spans.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    texts = found.where(f"kind = {_TEXT}").select("doc_id", "k", F.col("left").alias("z")).join(joined, "k", "left").select("doc_id", "z", "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,10 +480,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, span), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept_sha256", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    changed = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start: bigint, end: bigint>>, kept_sha256 string, kept binary")
+    changed = texts.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start: bigint, end: bigint>>, kept_sha256 string, kept binary")
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    done = found.where(f"kind = {_DONE}").select("doc_id", F.col("a").alias("n_bytes"), none.alias("removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    return done.unionByName(changed)
+    null = F.lit(None).cast("binary")
+    same = active.join(held, "k", "left_anti").select("doc_id", "n", none.alias("removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"), null.alias("kept"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
+    gone = rows.join(copies, "k", "left_semi").select("doc_id", "n", whole.alias("removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    return same.unionByName(gone).withColumnRenamed("n", "n_bytes").unionByName(changed)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
