@@ -48,6 +48,8 @@ HOT = 4096
 STRIDE = 12
 #: Occurrences sorted at a time.
 HOLD = 20_000
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 500
 #: Names of documents (8 bytes each) that may travel to every task; more of them are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 _LAST = np.iinfo(np.int64).max
@@ -373,7 +375,7 @@ def first_pass(rows: DataFrame, lists: DataFrame) -> DataFrame:
         for batch in batches:
             key = batch.schema.field(0).type
             out: list[tuple] = []
-            for doc_id, k, t, blob, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, k, t, blob, places in _rows(batch):
                 data = z.decompress(blob)
                 out.append((doc_id, _TEXT, k, None, None, None, None, None, blob, None))
                 held.rows += _surroundings(doc_id, t, k, data, places)
@@ -392,6 +394,12 @@ def first_pass(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return materialize(joined.mapInArrow(run, f"doc_id {kind}, {_ROW_SQL}"), "first-pass")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The batch's rows as tuples, a slice at a time."""
+    for lo in range(0, batch.num_rows, SLICE):
+        yield from zip(*(c.to_pylist() for c in batch.slice(lo, SLICE).columns), strict=True)
+
+
 def by_name(spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """(k, start, end) with each document's spans merged."""
     own: dict[int, list[tuple[int, int]]] = {}
@@ -463,7 +471,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             size, removed, sha, rest = [], [], [], []
             for blob, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = z.decompress(blob)
