@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexatlas.llm import textkernel as tk
 from lexatlas.llm.components import components
@@ -44,18 +43,19 @@ from lexatlas.runtime import materialize, ship_package
 NUM, DEN = 4, 5
 WIDTH = 5
 #: Buckets of more classes chain their members instead of listing pairs.
-BUCKET = 32
-#: Classes of one tree.
-BLOCK = 1024
-BITS = 1024
+BUCKET = 200
+#: Classes, and tokens, of one tree.
+BLOCK = 2048
+BLOCK_TOKENS = 1_000_000
+#: Least and most bits of a class's bitmap; in between it has about as many as the class has tokens.
+MIN_BITS, MAX_BITS = 256, 16_384
 #: Frequent shingles known to all tasks (an order, never a filter): 8 bytes each.
 MAX_FREQUENT = 400_000
-FREQUENT_IN_BATCH = 3
+FREQUENT_IN_BATCH = 2
 FILTER_BITS = 1 << 25
 REPRESENTATIVES = 4
-
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
+#: Classes of families that may travel to every task (16 bytes each); more of them are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 def needed(n, m):
     """Least overlap of sets of n and m members at the similarity (integers)."""
@@ -70,12 +70,25 @@ def class_id(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0]) or 1
 
 
-def bitmap(s: np.ndarray, bits: int = BITS) -> bytes:
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of the set's tokens; the length, a power of two, follows from the set's size."""
+    bits = MIN_BITS
+    while bits < min(0.9 * len(s), MAX_BITS):
+        bits *= 2
     b = np.zeros(bits, bool)
     b[(s >> tk.U64(20)).astype(np.int64) & (bits - 1)] = True
     return np.packbits(b).tobytes()
 
 
+def room(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m tokens with these bitmaps may overlap enough; the longer bitmap is folded."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(u), len(v))
+    u, v = (np.bitwise_or.reduce(w.reshape(-1, size)) if len(w) > size else w for w in (u, v))
+    extra = min(n - int(np.bitwise_count(u).sum()), m - int(np.bitwise_count(v).sum()))
+    return int(np.bitwise_count(u & v).sum()) + extra >= needed(n, m)
+
+
 def _sets(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, set) of each row."""
     offsets, data = tk.flat(batch_column)
@@ -229,18 +242,28 @@ class Forest:
         return np.array([self.find(i) for i in range(len(self.up))], np.int64)
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Exact test of two sorted sets."""
-    if NUM * max(len(x), len(y)) > DEN * min(len(x), len(y)):
-        return False
-    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-    return DEN * both >= NUM * (len(x) + len(y) - both)
+def token_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of bits (as uint64 words) per set: a bit for every token that two or more of the sets hold."""
+    every = np.concatenate(sets)
+    tokens, count = np.unique(every, return_counts=True)
+    tokens = tokens[count > 1]
+    words = max(1, -(-len(tokens) // 64))
+    out = np.zeros((len(sets), words * 8), np.uint8)
+    if len(tokens):
+        for i, s in enumerate(sets):
+            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+            at = at[tokens[at] == s]
+            np.bitwise_or.at(out[i], at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out.view(np.uint64)
 
 
-def tree_links(sets: list[np.ndarray], label: np.ndarray | None = None, fan: int = 8, bits: int = 4 * BITS) -> np.ndarray:
+def tree_links(sets: list[np.ndarray], label: np.ndarray | None = None, fan: int = 8) -> np.ndarray:
     """Component of each set, as the smallest index in it, of all links among ``sets``.
 
-    ``label``: sets of one label are known to be together.
+    ``label``: sets of one label are known to be together. The tokens of the
+    group are numbered, so a leaf's bitmap is its set without the tokens that
+    it shares with no other: the overlap of two leaves is exact, and that of
+    two nodes is at most the overlap of their OR-combined bitmaps.
     """
     n = len(sets)
     forest = Forest(n)
@@ -253,18 +276,14 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray | None = None, fan: int
     size = np.array([len(s) for s in sets])
     head = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
     order = np.lexsort((size, head))
-    for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
-        if forest.find(i) != forest.find(j) and linked(sets[i], sets[j]):
-            forest.join(i, j)
-    levels = [np.stack([np.frombuffer(bitmap(sets[i], bits), np.uint8) for i in order])]
-    extra = [size[order] - _POP[levels[0]].sum(1)]  # members that share a bit with another
+    levels = [token_bits([sets[i] for i in order])]
     low, high = [size[order]], [size[order]]
     while len(levels[-1]) > 1:
         cut = np.arange(0, len(levels[-1]), fan)
         levels.append(np.bitwise_or.reduceat(levels[-1], cut))
-        extra.append(np.maximum.reduceat(extra[-1], cut))
         low.append(np.minimum.reduceat(low[-1], cut))
         high.append(np.maximum.reduceat(high[-1], cut))
+    step = max(64, (1 << 22) // levels[0].shape[1] // 8)  # pairs looked at together: some MB of bitmaps
 
     def together() -> list[np.ndarray]:
         """A node's component, or -1 where it holds several."""
@@ -276,49 +295,60 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray | None = None, fan: int
         return out
 
     def possible(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs whose greatest overlap reaches the similarity; at the leaves, pairs that are linked."""
         ok = (NUM * low[k][a] <= DEN * high[k][b]) & (NUM * low[k][b] <= DEN * high[k][a])
-        for lo in range(0, len(a), 1 << 14):
-            part = slice(lo, lo + (1 << 14))
-            both = _POP[levels[k][a[part]] & levels[k][b[part]]].sum(1, dtype=np.int64)
-            most = np.minimum(both + np.minimum(extra[k][a[part]], extra[k][b[part]]), np.minimum(high[k][a[part]], high[k][b[part]]))
-            ok[part] &= most >= needed(low[k][a[part]], low[k][b[part]])
+        at = np.flatnonzero(ok)
+        for lo in range(0, len(at), step):
+            i = at[lo : lo + step]
+            x, y = a[i], b[i]
+            both = np.bitwise_count(levels[k][x] & levels[k][y]).sum(1, dtype=np.int64)
+            ok[i] = np.minimum(both, np.minimum(high[k][x], high[k][y])) >= needed(low[k][x], low[k][y])
         return ok
 
-    def descend(k: int, a: np.ndarray, b: np.ndarray) -> None:
-        comp = together()
-        stack = [(k, a, b)]
-        while stack:
-            k, a, b = stack.pop()
-            keep = (comp[k][a] < 0) | (comp[k][a] != comp[k][b])
-            a, b = a[keep], b[keep]
-            ok = possible(k, a, b)
-            a, b = a[ok], b[ok]
-            if not len(a):
-                continue
-            if k == 0:
-                joined = False
-                for i, j in zip(order[a].tolist(), order[b].tolist(), strict=True):
-                    if forest.find(i) != forest.find(j) and linked(sets[i], sets[j]):
-                        forest.join(i, j)
-                        joined = True
-                if joined:
-                    comp = together()
-                continue
-            m = len(levels[k - 1])
-            i = np.repeat(a, fan * fan) * fan + np.tile(np.repeat(np.arange(fan), fan), len(a))
-            j = np.repeat(b, fan * fan) * fan + np.tile(np.tile(np.arange(fan), fan), len(b))
-            fine = (i < m) & (j < m) & ((i < j) | ((i == j) & (k > 1)))
-            i, j = i[fine], j[fine]
-            for lo in range(0, len(i), 4096):
-                stack.append((k - 1, i[lo : lo + 4096], j[lo : lo + 4096]))
-
-    top = len(levels) - 1
-    descend(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
+    chain = np.flatnonzero(possible(0, np.arange(n - 1), np.arange(1, n)))  # neighbours in order, to begin with
+    for i, j in zip(order[chain].tolist(), order[chain + 1].tolist(), strict=True):
+        forest.join(i, j)
+    comp = together()
+    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    inner_i, inner_j = np.repeat(np.arange(fan), fan), np.tile(np.arange(fan), fan)
+    while stack:
+        k, a, b = stack.pop()
+        keep = (comp[k][a] < 0) | (comp[k][a] != comp[k][b])
+        a, b = a[keep], b[keep]
+        ok = possible(k, a, b)
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        if k == 0:
+            for i, j in zip(order[a].tolist(), order[b].tolist(), strict=True):
+                forest.join(i, j)
+            comp = together()
+            continue
+        m = len(levels[k - 1])
+        i = (a[:, None] * fan + inner_i).ravel()
+        j = (b[:, None] * fan + inner_j).ravel()
+        fine = (i < m) & (j < m) & ((i < j) | ((i == j) & (k > 1)))
+        i, j = i[fine], j[fine]
+        stack += [(k - 1, i[lo : lo + 4096], j[lo : lo + 4096]) for lo in range(0, len(i), 4096)]
     return forest.roots()
 
 
-def _grouped(rows: DataFrame, by: list[str], labelled: bool = False) -> DataFrame:
-    """Join trees over the rows (by..., cls, tokens[, label]) of each group: (by[0], cls, root)."""
+def pack(s: np.ndarray) -> bytes:
+    """A sorted set as the leading 6 bytes of each member; 48 bits tell the members of a few sets apart."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _grouped(rows: DataFrame, by: list[str], labelled: bool = False, keep: bool = False) -> DataFrame:
+    """Join trees over the rows (by..., cls, tokens[, label]) of each group: (by[0], cls, root).
+
+    ``keep``: also whether the class is one of its component's representatives, and its tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(by)
@@ -327,9 +357,22 @@ def _grouped(rows: DataFrame, by: list[str], labelled: bool = False) -> DataFram
 
         def out() -> pa.RecordBatch:
             cls = np.array(list(held), np.int64)
-            sets = [np.frombuffer(v[0], np.uint64) for v in held.values()]
+            sets = [unpack(v[0]) for v in held.values()]
             root = tree_links(sets, np.array([v[1] for v in held.values()], np.int64) if labelled else None)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(cls), pa.int64()), pa.array(cls), pa.array(cls[root])], names=[by[0], "cls", "root"])
+            cols = [pa.array([at[0]] * len(cls), pa.int64()), pa.array(cls), pa.array(cls[root])]
+            names = [by[0], "cls", "root"]
+            if keep:
+                size: dict[int, int] = {}
+                chosen = np.zeros(len(cls), bool)
+                several = np.bincount(root, minlength=len(cls)) > 1
+                for i in np.argsort(tk.mix(cls.view(np.uint64)), kind="stable").tolist():
+                    r = int(root[i])
+                    if several[r] and size.get(r, 0) < REPRESENTATIVES:
+                        chosen[i] = True
+                        size[r] = size.get(r, 0) + 1
+                cols += [pa.array(chosen), pa.array([v[0] for v in held.values()], pa.binary())]
+                names += ["chosen", "tokens"]
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
@@ -343,7 +386,8 @@ def _grouped(rows: DataFrame, by: list[str], labelled: bool = False) -> DataFram
             yield out()
 
     cols = [*by, "cls", "tokens", *(["label"] if labelled else [])]
-    return rows.select(*cols).repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(run, f"{by[0]} long, cls long, root long")
+    schema = f"{by[0]} long, cls long, root long" + (", chosen boolean, tokens binary" if keep else "")
+    return rows.select(*cols).repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(run, schema)
 
 
 def _filter(cls: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -377,7 +421,7 @@ def sets_of(docs: DataFrame, cls: DataFrame) -> DataFrame:
                 if c and c not in known and _in_filter(table, c):
                     known.add(c)
                     ids.append(c)
-                    tokens.append(s.tobytes())
+                    tokens.append(pack(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["cls", "tokens"])
 
     return docs.select("text").mapInArrow(run, "cls long, tokens binary")
@@ -389,12 +433,8 @@ def _maybe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BITS // 8) for i in (2, 3))
-            n, m = (np.asarray(batch.column(i)) for i in (4, 5))
-            both = _POP[x & y].sum(1, dtype=np.int64)
-            extra = np.minimum(n - _POP[x].sum(1, dtype=np.int64), m - _POP[y].sum(1, dtype=np.int64))
-            ok = both + extra >= needed(n, m)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["u", "v"])
+            ok = pa.array([room(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(run, "u long, v long")
@@ -405,33 +445,37 @@ def link_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> D
     links = materialize(bucket_links(keys_of(docs, frequent)).groupBy("a", "b").agg(F.min("test").alias("test")), "links")
     maybe = _maybe(links.where("test").select("a", "b"), classes).unionByName(links.where("not test").select(F.col("a").alias("u"), F.col("b").alias("v")))
     family = materialize(components(maybe).select(F.col("node").alias("cls"), F.col("root").alias("family")), "families")
-    sized = family.join(family.groupBy("family").agg(F.count("*").alias("f")), "family")
-    blocks = F.ceil(F.col("f") / BLOCK)
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("blocks", blocks)
+    sized = family.join(classes.select("cls", "n"), "cls")
+    totals = sized.groupBy("family").agg(F.count("*").alias("f"), F.sum("n").alias("t"))
+    totals = materialize(totals.select("family", "f", F.greatest(F.ceil(F.col("f") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS)).alias("blocks")), "family-sizes")
+    stats = totals.agg(F.max("blocks").alias("most"), F.sum("f").alias("rows")).first()
+    placed = family.join(totals, "family").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).select("cls", "family", "block")
+    if (stats.rows or 0) <= MAX_BROADCAST:
+        placed = F.broadcast(placed)
     sets = sets_of(docs, family).join(placed, "cls")
-    large = (sized.agg(F.max("f")).first()[0] or 0) > BLOCK
-    if large:
-        sets = materialize(sets, "family-sets")
-    first = _grouped(sets, ["family", "block"])
-    if not large:
-        return first.select("cls", "root")
-    first = materialize(first, "block-links")
-    big = sets.where(f"f > {BLOCK}").join(first.select("cls", "root"), "cls")
-    some = F.row_number().over(Window.partitionBy("family", "root").orderBy(F.xxhash64("cls"), "cls"))
-    several = big.groupBy("family", "root").agg(F.count("*").alias("k")).where("k > 1")
-    chosen = big.join(several, ["family", "root"]).dropDuplicates(["cls"]).withColumn("i", some).where(F.col("i") <= REPRESENTATIVES)
-    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("root"), F.ceil(F.col("blocks") * REPRESENTATIVES * 4 / BLOCK))).withColumn("label", F.col("root"))
-    met = _grouped(chosen, ["family", "part"], labelled=True)
-    met = met.join(first.select("cls", F.col("root").alias("old")), "cls").join(first.select(F.col("cls").alias("root"), F.col("root").alias("new")), "root")
-    second = _merge(first, met.select(F.col("old").alias("u"), F.col("new").alias("v")))
+    if (stats.most or 0) <= 1:
+        return _grouped(sets, ["family", "block"]).select("cls", "root")
+    return _large(materialize(_grouped(sets, ["family", "block"], keep=True), "block-links"), totals)
+
+
+def _large(first: DataFrame, totals: DataFrame) -> DataFrame:
+    """(cls, root) where families take several blocks: ``first`` is what each block found by itself."""
+    big = first.join(totals.where("blocks > 1"), "family")
+    part = F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("blocks") * REPRESENTATIVES / 64)))
+    met = _grouped(big.where("chosen").withColumn("part", part).withColumn("label", F.col("root")), ["family", "part"], labelled=True)
+    own = first.select("cls", "root")
+    met = met.join(own.withColumnRenamed("root", "old"), "cls").join(own.select(F.col("cls").alias("root"), F.col("root").alias("new")), "root")
+    second = _merge(own, met.select(F.col("old").alias("u"), F.col("new").alias("v")))
     # what is still apart from its family's largest component meets every block
-    big = sets.where(f"f > {BLOCK}").dropDuplicates(["cls"]).join(second.withColumnRenamed("root", "label"), "cls")
-    parts = big.groupBy("family", "label").agg(F.count("*").alias("k"))
-    main = parts.groupBy("family").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most")).where("total > most")
-    open_ = big.join(main, "family")
-    n_out = F.ceil((F.col("total") - F.col("most")) / (BLOCK // 2))
-    out = open_.where("label <> main").withColumn("out", F.pmod(F.xxhash64("cls", F.lit(1)), n_out)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    every = open_.withColumn("out", F.explode(F.sequence(F.lit(0).cast("long"), n_out - 1)))
+    parts = big.select("family", "cls", "blocks").join(second, "cls").groupBy("family", "blocks", "root").agg(F.count("*").alias("k"))
+    main = parts.groupBy("family", "blocks").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most")).where("total > most")
+    main = materialize(main.withColumn("outs", F.ceil((F.col("total") - F.col("most")) * F.col("blocks") / F.col("total"))), "open-families")
+    if not main.head(1):
+        return second
+    open_ = first.select("family", "cls", "tokens").join(main, "family").join(second.withColumnRenamed("root", "label"), "cls")
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    out = open_.where("label <> main").withColumn("out", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("outs"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = open_.withColumn("block", block).withColumn("out", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1)))
     cols = ["family", "out", "block", "cls", "tokens", "label"]
     last = _grouped(out.select(*cols).unionByName(every.select(*cols)), ["family", "out", "block"], labelled=True)
     last = last.join(second.withColumnRenamed("root", "old"), "cls").join(second.select(F.col("cls").alias("root"), F.col("root").alias("new")), "root")
