@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 #: Byte classes of the word contract: a word is a run of bytes outside space and \t..\r.
 SPACE = np.zeros(256, bool)
