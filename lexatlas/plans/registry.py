@@ -402,7 +402,7 @@ def _senses(spark, sf) -> DataFrame:
 
 @query("c13_classes")
 def c13_classes(spark, sf):
-    return classes.induce_classes(_senses(spark, sf), k=10, min_descriptors=2, fidelity=0.3, limit=12)
+    return classes.induce_classes(_senses(spark, sf), k=10, min_descriptors=2, fidelity=0.5)
 
 
 @query("a3_tag_histogram")

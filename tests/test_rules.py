@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import stats, text
 from lexatlas.operators import classes, factorize, incidence, linking, mentions, nullmodel, senses, substitutes
+from lexatlas.plans import registry
 from lexatlas.sources import conll, tables
 
 
@@ -136,6 +137,15 @@ def test_classes_and_histogram(spark):
     assert hist == {(0, "PER"): 4, (1, "LOC"): 4}
 
 
+def test_registered_classes_reach_half_of_the_table(spark, monkeypatch):
+    rows = [(f"e{g}_{i}::PER", [f"name{g}_{a}" for a in range(3)]) for g in range(40) for i in range(4)]
+    senses_ = spark.createDataFrame(rows, "entity string, descriptors array<string>")
+    monkeypatch.setattr(registry, "_senses", lambda *_: senses_)
+    found = registry.QUERIES["c13_classes"](spark, "").collect()
+    assert len(found) == 20 and max(r.covered for r in found) == pytest.approx(0.5)
+    assert registry.QUERIES["a3_tag_histogram"](spark, "").count() == 20
+
+
 def test_random_classes_keep_sizes(spark):
     c = spark.createDataFrame([("a", ["1", "2", "3"]), ("b", ["3", "4"]), ("c", [])], "cand string, entities array<string>")
     got = nullmodel.random_candidates(c, 3, spare=4).collect()
