@@ -248,7 +248,7 @@ def f2_f4_tags_and_lemmas(spark, sf):
 @query("l5_top_terms", f"with {d.SQL_MENTIONS}, {_BIGRAMS.format(limit=41)} select context_id, masked, rank::int as rank, term from ranked where rank < 10")
 def l5_top_terms(spark, sf):
     contexts = _contexts(spark, sf)
-    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf))
+    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf), cut=True)
     return substitutes.top_terms(provider.predictions(contexts, 41), 10, _stopwords(spark))
 
 
@@ -257,7 +257,7 @@ def l5_top_terms(spark, sf):
     f"with {d.SQL_MENTIONS}, {_BIGRAMS.format(limit=21)} select context_id, string_agg(term, '|' order by masked, rank) as terms from ranked where rank < 5 group by 1",
 )
 def l6_l7_substitutes(spark, sf):
-    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf))
+    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf), cut=True)
     return substitutes.substitutes(provider, _contexts(spark, sf), 10, stopwords=_stopwords(spark)).select("context_id", F.array_join("terms", "|").alias("terms"))
 
 

@@ -1,6 +1,8 @@
 """Hand-computed cases and properties of the operators."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -169,6 +171,29 @@ def test_half_is_rounded_to_even():
         substitutes.MaskedModelProvider("gpt")
 
 
+def test_neighbour_counts_are_summed_before_the_cut(spark):
+    r = random.Random(7)
+    word = lambda: f"w{min(int(r.expovariate(0.12)), 60)}"
+    docs = [(i, [word() for _ in range(40)]) for i in range(60)]
+    # "mid" stands third on both sides of l _ r and is the best sum
+    docs += [(100, f"l {t} x".split()) for t in ("a", "a", "a", "b", "b", "b", "mid", "mid")] + [(101, f"y {t} r".split()) for t in ("c", "c", "c", "d", "d", "d", "mid", "mid")]
+    tokens = spark.createDataFrame(docs, "doc_id long, forms array<string>")
+    asked = [("0", "l", "t", "r")] + [(str(i), word(), word(), word()) for i in range(1, 25)] + [("25", None, "w1", "w2"), ("26", "", "none", "w0")]
+    contexts = spark.createDataFrame(asked, "context_id string, left string, target string, right string")
+    n = Counter(p for _, forms in docs for p in zip(forms, forms[1:], strict=False))
+    vocabulary = {w for _, forms in docs for w in forms}
+    for limit in (1, 2, 7, 500):
+        got = {}
+        for row in substitutes.DistributionalProvider(tokens).predictions(contexts, limit).collect():
+            got.setdefault((row.context_id, row.masked), []).append((-row.score, row.term))
+        for i, left, target, right in asked:
+            for masked in (True, False):
+                score = {t: n[left, t] + n[t, right] + (0 if masked else n[target, t] + n[t, target]) for t in vocabulary}
+                want = sorted((-s, t) for t, s in score.items() if s)[:limit]
+                assert sorted(got.get((i, masked), []))[:limit] == want
+    assert substitutes.DistributionalProvider(tokens).predictions(contexts.where("context_id = '0'"), 1).where("masked").first().term == "mid"
+
+
 def test_drop_rare(spark):
     pairs = spark.createDataFrame([(f"o{i}", "x") for i in range(5)] + [("o0", "y"), ("o1", "z"), ("o2", "z")], "obj string, att string")
     assert {r.att for r in incidence.drop_rare(pairs).collect()} == {"x", "z"}
