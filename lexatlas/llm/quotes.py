@@ -3,16 +3,18 @@
 Native DataFrame operations only. A line's quote level is the number of ``>``
 marks in its head (``> > text`` is level 2). Runs of lines of one level above
 0 are quoted passages; a head line such as ``On ... wrote:`` right before a
-passage belongs to the quotation. Passages and the paragraphs and whole bodies
-of messages are normalised (letters and digits of any script, lower case,
-single spaces) and hashed; a passage is joined to the message that said it
-first: in the same conversation before the quoting turn, else anywhere else in
-the table. The message a turn answers is the original of its shallowest linked
+passage belongs to the quotation. Passages and the lines of messages are
+normalised (letters and digits of any script, lower case, single spaces). A
+message said a passage if a run of its whole lines of any length has the same
+text, however the quote is broken into lines; a passage is joined to the
+message that said it first: in the same conversation before the quoting turn,
+else in the first other conversation of the table. The message a turn answers is the original of its shallowest linked
 passage, else the turn before; following these answers gives the reply order.
 
-Hashes of what was said are reduced to one row for each conversation, and to
-one for the table, before any join, so common passages cost one row; joins are
-equi-joins on hashes that Spark may split where a hash is hot.
+Only runs that begin like a passage and are as long as one are hashed. Hashes of
+what was said are reduced to one row for each conversation, and to two for the
+table, before they meet the passages; joins are equi-joins that Spark may split
+where a key is hot.
 
 Defined results: null text is empty; a null conv_id or turn is a key of its
 own and its message is linked with nothing; rows that repeat a (conv_id, turn)
@@ -27,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Shortest normalised passage that is looked up.
-MIN_CHARS = 12
+MIN_CHARS = 1
+#: Characters by which the lines that begin a passage are found.
+PREFIX = 12
 #: Turns of one stretch of a conversation.
 CHUNK = 1024
+_BREAK = "\r\n|\r|\n"
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 _ATTRIBUTION = r"(?i)^[ \t]*(on|am|el|le)\b.{0,200}\b(wrote|schrieb|escribió|a écrit)[ \t]*:[ \t]*$"
 
@@ -46,7 +51,7 @@ def _lines(text: Column) -> Column:
         level = F.length(F.regexp_replace(marks, "[^>]", ""))
         return F.struct(level.alias("level"), F.when(level > 0, F.substring(line, F.length(F.regexp_extract(line, _MARKS, 0)) + 1, F.length(line))).otherwise(line).alias("body"), line.rlike(_ATTRIBUTION).alias("head"))
 
-    return F.transform(F.split(text, "\r\n|\r|\n"), one)
+    return F.transform(F.split(text, _BREAK), one)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -70,11 +75,25 @@ def parsed(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", "text", "body", "passages", F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("max_level"))
 
 
-def said(messages: DataFrame) -> DataFrame:
-    """(hash, conv_id, turn): the first turn of each conversation that says each paragraph or body."""
-    parts = F.array_union(F.array("body"), F.split("body", r"\n[ \t]*\n|\n"))
-    keys = F.array_distinct(F.transform(F.filter(F.transform(parts, normalised), lambda x: F.length(x) >= MIN_CHARS), lambda x: F.xxhash64(x)))
-    each = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(keys).alias("hash"))
+def said(messages: DataFrame, passages: DataFrame) -> DataFrame:
+    """(hash, conv_id, turn): the first turn of each conversation that says each of the ``passages`` (norm) in whole lines."""
+    wanted = passages.groupBy(F.substring("norm", 1, PREFIX).alias("key")).agg(F.collect_set(F.length("norm")).alias("sizes"))
+    lines = F.filter(F.transform(F.split("body", _BREAK), normalised), lambda x: x != "")
+    own = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", lines.alias("lines")).withColumn("row", F.xxhash64("lines"))
+    run = lambda i, n: F.substring(F.array_join(F.slice("lines", i + 1, n), "\n"), F.lit(1), n)
+    ends = lambda text, n: F.substring(text, n + 1, F.lit(1)).isin("\n", "")
+
+    def keys(_: Column, i: Column) -> Column:
+        head = run(i, F.lit(PREFIX))
+        short = F.filter(F.sequence(F.lit(1), F.lit(PREFIX - 1)), lambda n: (F.length(head) >= n) & ends(head, n))
+        whole = F.when(F.length(head) == PREFIX, F.array(head)).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.array_distinct(F.concat(whole, F.transform(short, lambda n: F.substring(head, F.lit(1), n)))), lambda k: F.translate(k, "\n", " "))
+
+    begins = own.select("conv_id", "turn", "row", F.posexplode(F.transform("lines", keys)).alias("i", "keys")).select("conv_id", "turn", "row", "i", F.explode("keys").alias("key"))
+    tried = begins.join(wanted, "key").select("conv_id", "turn", "row", "i", F.explode("sizes").alias("size"))
+    runs = tried.join(own, ["conv_id", "turn", "row"]).withColumn("text", run(F.col("i"), F.col("size") + 1))
+    found = runs.where((F.length("text") >= F.col("size")) & ends(F.col("text"), F.col("size")))
+    each = found.select("conv_id", "turn", F.xxhash64(F.translate(F.substring("text", F.lit(1), F.col("size")), "\n", " ")).alias("hash"))
     return each.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
 
 
@@ -83,17 +102,19 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     messages = parsed(conversations)
     quoted = messages.where("size(passages) > 0").select("conv_id", "turn", F.posexplode("passages").alias("position", "p"))
     quoted = quoted.select("conv_id", "turn", "position", F.col("p.level").alias("level"), F.col("p.text").alias("quoted"), normalised(F.col("p.text")).alias("norm"))
-    quoted = quoted.where(F.length("norm") >= MIN_CHARS).withColumn("hash", F.xxhash64("norm")).drop("norm")
-    first = said(messages)
+    quoted = quoted.where(F.length("norm") >= MIN_CHARS)
+    first = said(messages, quoted)
+    quoted = quoted.withColumn("hash", F.xxhash64("norm")).drop("norm")
     near = first.select("hash", "conv_id", F.col("turn").alias("near_turn"))
-    far = first.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    two = first.withColumn("r", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("r <= 2")
+    far = two.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"), F.max(F.struct("conv_id", "turn")).alias("next"))
     linked = quoted.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
     inside = F.col("near_turn") < F.col("turn")
-    outside = F.col("far.conv_id") != F.col("conv_id")
-    return linked.select(
+    outside = F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")).when(F.col("next.conv_id") != F.col("conv_id"), F.col("next"))
+    return linked.withColumn("outside", outside).select(
         "conv_id", "turn", "position", "level", "quoted",
-        F.when(inside, F.col("conv_id")).when(outside, F.col("far.conv_id")).alias("source_conv"),
-        F.when(inside, F.col("near_turn")).when(outside, F.col("far.turn")).alias("source_turn"),
+        F.when(inside, F.col("conv_id")).otherwise(F.col("outside.conv_id")).alias("source_conv"),
+        F.when(inside, F.col("near_turn")).otherwise(F.col("outside.turn")).alias("source_turn"),
     )
 
 

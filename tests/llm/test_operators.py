@@ -121,6 +121,25 @@ def test_quotes(spark):
     assert quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_quotes_of_several_lines(spark):
+    long_ = "Dear all,\nthe first line of a paragraph\nand its second line, too.\n\nAnother paragraph stands here,\r\nwrapped as well.\nOk\nRegards"
+    rows = [
+        (1, 0, "user", long_), (1, 1, "user", "Yes"),
+        (1, 2, "user", "> the first line of a paragraph\n> and its second line, too.\nTwo lines"),
+        (1, 3, "user", "> and its second line, too.\n>\n> Another paragraph stands here,\n> wrapped as well.\nTwo paragraphs"),
+        (1, 4, "user", "> the first line of\n> a paragraph and its\n> second line, too.\nRewrapped"),
+        (1, 5, "user", "> line of a paragraph\n> and its second line, too.\nNo whole line"),
+        (1, 6, "user", "> ok\nShort"), (1, 7, "user", "> Dear all,\n> wrapped as well.\nNo run"),
+        (2, 0, "user", "> only once in here\n> and there\nFirst"), (2, 1, "user", "only once in here\nand there"), (3, 5, "user", "x\nonly once in here\nand there\ny"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    links = {(r.conv_id, r.turn): (r.source_conv, r.source_turn) for r in quotes.link_quotes(df).collect()}
+    none = (None, None)
+    assert links == {(1, 2): (1, 0), (1, 3): (1, 0), (1, 4): (1, 0), (1, 5): none, (1, 6): (1, 0), (1, 7): none, (2, 0): (3, 5)}
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in quotes.reply_ordered(df).collect()}
+    assert got[1, 2] == (1, 0) and got[1, 5] == (0, 4) and got[2, 0] == (1, None)
+
+
 def test_decontamination(spark):
     r = random.Random(3)
     items = [(i, words_of(r, 25).capitalize() + ". " + words_of(r, 8) + ".") for i in range(40)] + [(40, None), (41, "")]
