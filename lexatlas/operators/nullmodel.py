@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import deque
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,26 +15,92 @@ from lexatlas.functions.stats import kde, kde_mass
 from lexatlas.runtime import ship_package
 
 
+def repaired(classes: list[list[str | None]], start: Callable[[str], int]) -> None:
+    """Moves what a class holds twice until no class does; sizes and the bag of all entities stay.
+
+    All doubled occurrences are taken out and placed one by one in a class that lacks the entity, from class
+    ``start(entity)`` on; a full class passes another entity on to a class that lacks it, until one has room
+    (augmenting paths, which exist as long as any deal without doubles does).
+    """
+    free: dict[int, list[int]] = {}
+    loose = []
+    has: list[set] = [set() for _ in classes]
+    for c, entities in enumerate(classes):
+        for p, e in enumerate(entities):
+            if e in has[c]:
+                loose.append(e)
+                free.setdefault(c, []).append(p)
+                entities[p] = None
+            has[c].add(e)
+
+    def passed(x: int, y: int, at: int) -> int | None:
+        """Place of an entity of class x that class y lacks."""
+        n = len(classes[x])
+        return next((p for p in ((at + i) % n for i in range(n)) if classes[x][p] is not None and classes[x][p] not in has[y]), None)
+
+    for e in loose:
+        at = start(e)
+        turn = [(at + i) % len(classes) for i in range(len(classes))]
+        way: dict[int, tuple[int, int] | None] = {c: None for c in turn if e not in has[c] and classes[c]}
+        end = next((c for c in way if c in free), None)
+        queue = deque(way)
+        while end is None and queue:
+            x = queue.popleft()
+            for y in (*free, *(c for c in turn if c not in free)):
+                if y not in way and (p := passed(x, y, at)) is not None:
+                    way[y] = (x, p)
+                    queue.append(y)
+                    if y in free:
+                        end = y
+                        break
+        if end is None:
+            raise ValueError(f"no deal without doubles: {e!r} occurs too often for the classes' sizes")
+        hole = free[end].pop()
+        if not free[end]:
+            del free[end]
+        while (step := way[end]) is not None:
+            x, p = step
+            f = classes[x][p]
+            classes[end][hole] = f
+            has[end].add(f)
+            has[x].remove(f)
+            end, hole = x, p
+        classes[end][hole] = e
+        has[end].add(e)
+
+
 def random_candidates(candidates: DataFrame, num_random: int, seed: int = 0, spare: int = 2, by: list[str] | None = None) -> DataFrame:
     """replicate, cand, entities: the bag of all entities dealt anew to classes of the same sizes.
 
     The order is a hash of entity, occurrence, replicate and seed, so a rerun
-    gives the same classes. Replicates in which a class holds an entity twice
-    are dropped; ``spare`` times as many are tried, the first ``num_random`` stay.
+    gives the same classes. Deals in which a class holds an entity twice are
+    ``repaired`` (each in one task, which holds its bag), so there are always
+    ``num_random`` replicates; ``spare`` has no use any more and is kept for callers.
     """
     by = by or []
-    tries = F.explode(F.sequence(F.lit(0), F.lit(num_random * spare - 1))).alias("try")
+    ship_package(candidates.sparkSession)
+    tries = F.explode(F.sequence(F.lit(0), F.lit(num_random - 1))).alias("replicate")
     bag = candidates.select(*by, F.posexplode("entities").alias("place", "entity"), "cand")
-    dealt = bag.select(*by, "entity", "place", "cand", tries)
-    order = F.row_number().over(Window.partitionBy(*by, "try").orderBy(F.xxhash64("entity", "cand", "place", "try", F.lit(seed)), "entity", "cand", "place"))
-    dealt = dealt.select(*by, "try", "entity", order.alias("at"))
+    dealt = bag.select(*by, "entity", "place", "cand", tries).where(F.col("replicate").between(0, num_random - 1))
+    order = F.row_number().over(Window.partitionBy(*by, "replicate").orderBy(F.xxhash64("entity", "cand", "place", "replicate", F.lit(seed)), "entity", "cand", "place"))
+    dealt = dealt.select(*by, "replicate", "entity", order.alias("at"))
     ends = F.sum(F.size("entities")).over(Window.partitionBy(*by).orderBy("cand"))
     bounds = candidates.where(F.size("entities") > 0).select(*by, "cand", ends.alias("hi"), F.size("entities").alias("n"))
     slots = bounds.select(*by, "cand", F.explode(F.sequence(F.col("hi") - F.col("n") + 1, F.col("hi"))).alias("at"))
-    placed = dealt.join(slots, [*by, "at"]).groupBy(*by, "try", "cand").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-    bad = F.max(F.size(F.array_distinct("entities")) < F.size("entities")).over(Window.partitionBy(*by, "try"))
-    good = placed.withColumn("bad", bad).where("not bad").withColumn("replicate", F.dense_rank().over(Window.partitionBy(*by).orderBy("try")) - 1)
-    return good.where(F.col("replicate") < num_random).select(*by, "replicate", "cand", "entities")
+    placed = dealt.join(slots, [*by, "at"]).groupBy(*by, "replicate", "cand").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    bad = F.max(F.size(F.array_distinct("entities")) < F.size("entities")).over(Window.partitionBy(*by, "replicate"))
+    placed = placed.withColumn("bad", bad)
+    columns = [*by, "replicate", "cand", "entities"]
+
+    def run(frame):
+        frame = frame.sort_values("cand")
+        lists = [list(e) for e in frame["entities"]]
+        salt = f"{seed}:{frame['replicate'].iloc[0]}:"
+        repaired(lists, lambda e: zlib.crc32(f"{salt}{e}".encode()))
+        return frame.assign(entities=[sorted(e) for e in lists])
+
+    good, doubled = placed.where("not bad").select(*columns), placed.where("bad").select(*columns)
+    return good.unionByName(doubled.groupBy(*by, "replicate").applyInPandas(run, doubled.schema))
 
 
 def above_random(values: DataFrame, by: list[str], deviations: float = 2.0) -> DataFrame:

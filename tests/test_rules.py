@@ -157,6 +157,34 @@ def test_random_classes_keep_sizes(spark):
     assert sorted(e for r in got if r.replicate == 0 for e in r.entities) == ["1", "2", "3", "3", "4"]
 
 
+def test_random_classes_that_share_entities(spark):
+    rows = [(g, f"c{i}", [f"e{j}" for j in range(40) if (i * 7 + j * (g + 3)) % 5 < 3 or j == 0]) for g in range(2) for i in range(12)]
+    c = spark.createDataFrame(rows, "g int, cand string, entities array<string>")
+    got = nullmodel.random_candidates(c, 6, by=["g"]).collect()
+    size = {(g, cand): len(e) for g, cand, e in rows}
+    assert Counter((r.g, r.replicate) for r in got) == {(g, i): 12 for g in range(2) for i in range(6)}
+    for r in got:
+        assert len(set(r.entities)) == len(r.entities) == size[r.g, r.cand]
+    for g in range(2):
+        bag = sorted(e for h, _, entities in rows if h == g for e in entities)
+        deals = [sorted((r.cand, *r.entities) for r in got if (r.g, r.replicate) == (g, i)) for i in range(6)]
+        assert all(sorted(e for d in deal for e in d[1:]) == bag for deal in deals) and len(set(map(str, deals))) == 6
+    assert sorted(map(str, got)) == sorted(map(str, nullmodel.random_candidates(c.repartition(3), 6, by=["g"]).collect()))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sets(st.sampled_from("abcdefg"), min_size=1), min_size=1, max_size=7), st.randoms(use_true_random=False))
+def test_doubles_can_always_be_moved(sets, rand):
+    bag = [e for s in sets for e in sorted(s)]
+    rand.shuffle(bag)
+    classes_, left = [], iter(bag)
+    for s in sets:
+        classes_.append([next(left) for _ in s])
+    nullmodel.repaired(classes_, lambda e: ord(e) * 31)
+    assert [len(set(c)) for c in classes_] == [len(c) for c in classes_] == [len(s) for s in sets]
+    assert sorted(e for c in classes_ for e in c) == sorted(bag)
+
+
 def test_density_values(spark):
     rows = [(1, float(x), True) for x in (0, 1, 2, 3, 4)] + [(1, 2.0, False)]
     v = spark.createDataFrame(rows, "g int, value double, is_random boolean")
