@@ -384,7 +384,7 @@ def c8_cutoff(spark, sf):
 def _entity_lists(spark, sf) -> DataFrame:
     provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf))
     contexts = _contexts(spark, sf).withColumn("key", F.concat_ws("::", "target", "tag"))
-    lists = substitutes.substitutes(provider, contexts, 20, stopwords=_stopwords(spark), min_length=4)
+    lists = substitutes.substitutes(provider, contexts, 50, stopwords=_stopwords(spark), min_length=4)
     joined = contexts.select("key", "context_id", "doc_id", "first_idx").join(lists, "context_id")
     return joined.select("key", (F.col("doc_id") * 1_000_000 + F.col("first_idx")).alias("context_id"), "terms")
 

@@ -222,6 +222,15 @@ def test_neighbour_counts_are_summed_before_the_cut(spark):
     assert substitutes.DistributionalProvider(tokens).predictions(contexts.where("context_id = '0'"), 1).where("masked").first().term == "mid"
 
 
+def test_entity_senses_read_fifty_substitutes(spark, monkeypatch):
+    outside, name = ["O"], ["I", "PER"]
+    rows = [(i, ["pre", f"word{i}", "post"], [outside] * 3) for i in range(60)] + [(60, ["pre", "Smith", "post"], [outside, name, outside])]
+    tokens = spark.createDataFrame(rows, "doc_id long, forms array<string>, tags array<array<string>>")
+    monkeypatch.setattr(registry.d, "token_arrays", lambda *_: tokens)
+    (row,) = registry._entity_lists(spark, "").collect()
+    assert row.key == "Smith::PER" and len(row.terms) == 50 and len(set(row.terms[25:])) == 25
+
+
 def test_drop_rare(spark):
     pairs = spark.createDataFrame([(f"o{i}", "x") for i in range(5)] + [("o0", "y"), ("o1", "z"), ("o2", "z")], "obj string, att string")
     assert {r.att for r in incidence.drop_rare(pairs).collect()} == {"x", "z"}
