@@ -10,11 +10,14 @@ only the items left are scored in full. Items above the threshold are verified:
 the window must hold enough of the item's question and of its answer.
 
 The items are read in shards of bounded size, each held by every task; the
-documents are scanned once for each shard and never shuffled.
+documents are scanned once for each shard and never shuffled. Document counts
+of words, mean length and window size are those of all items, so results do not
+depend on the shards.
 
 Words are lower-cased (A-Z) runs of letters, digits and bytes above 127, so
 glued punctuation does not hide a copy. The answer is the last sentence of an
-item, the question what stands before; an item of one sentence is both.
+item that has words, the question what stands before; an item with words in one
+sentence only is both.
 
 Defined results: null and empty texts match nothing, neither do items without
 words; rows that repeat a doc_id are searched one by one; items that repeat an
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import textkernel as tk
-from lexatlas.runtime import ship_package
+from lexatlas.runtime import materialize, ship_package
 
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.6
@@ -72,9 +75,25 @@ def _runs(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(tk.mix(acc + tk.U64(width)))
 
 
+def _has_words(text: str) -> bool:
+    return bool(_INSIDE[np.frombuffer(text.encode(), np.uint8)].any())
+
+
 def question_answer(text: str) -> tuple[str, str]:
-    parts = _SENTENCE.split(text.strip())
-    return (text, text) if len(parts) < 2 else (text[: text.rindex(parts[-1])], parts[-1])
+    parts = [p for p in _SENTENCE.split(text.strip()) if _has_words(p)]
+    at = text.rindex(parts[-1]) if len(parts) > 1 else 0
+    return (text[:at], text[at:]) if at else (text, text)
+
+
+@dataclass
+class Statistics:
+    """Of all items, with the document counts of one shard's words."""
+
+    number: int
+    mean: float  # words of an item
+    span: int  # words of the longest item
+    vocabulary: np.ndarray  # sorted term hashes
+    df: np.ndarray
 
 
 @dataclass
@@ -92,17 +111,21 @@ class Index:
     checks: list[tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]]
 
 
-def build_index(ids: list, texts: list[str | None], k1: float = K1, b: float = B) -> Index:
+def build_index(ids: list, texts: list[str | None], k1: float = K1, b: float = B, whole: Statistics | None = None) -> Index:
+    """Index of some items; ``whole``: statistics of all items where these are only a part of them."""
     words = [_text_words(t or "") for t in texts]
     n = len(words)
-    mean = max(1.0, sum(map(len, words)) / max(n, 1))
+    number, mean, span = (whole.number, whole.mean, whole.span) if whole else (n, sum(map(len, words)) / max(n, 1), max([1, *map(len, words)]))
+    mean = max(1.0, mean)
     terms = [np.unique(w, return_counts=True) for w in words]
     vocabulary = np.unique(np.concatenate([t for t, _ in terms] or [np.zeros(0, np.uint64)]))
     df = np.zeros(len(vocabulary))
     at = [np.searchsorted(vocabulary, t) for t, _ in terms]
     for a in at:
         df[a] += 1
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    if whole:
+        df = whole.df[np.searchsorted(whole.vocabulary, vocabulary)].astype(float)
+    idf = np.log(1 + (number - df + 0.5) / (df + 0.5))
     t_all, i_all, w_all = [], [], []
     for i, (a, (_, tf)) in enumerate(zip(at, terms, strict=True)):
         w = idf[a] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words[i]) / mean))
@@ -123,7 +146,7 @@ def build_index(ids: list, texts: list[str | None], k1: float = K1, b: float = B
     for text in texts:
         q, a = (_text_words(x) for x in question_answer(text or ""))
         checks.append(((min(WIDTH, len(q)), _runs(q, WIDTH)), (min(WIDTH, len(a)), _runs(a, WIDTH))))
-    return Index(ids, vocabulary, bound, edges(t), i, w, edges(t[starts]), i[starts] // BLOCK_ITEMS, np.maximum.reduceat(w, starts) if len(starts) else w, max([1, *map(len, words)]), checks)
+    return Index(ids, vocabulary, bound, edges(t), i, w, edges(t[starts]), i[starts] // BLOCK_ITEMS, np.maximum.reduceat(w, starts) if len(starts) else w, span, checks)
 
 
 def _expand(first: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,13 +254,36 @@ def hits(index: Index, data: np.ndarray, offsets: np.ndarray, minimum: float = M
     return out
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """(term, n): the distinct words of every item with n = 1, and a row without a term with its number of words."""
+    ship_package(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = _text_words(text or "")
+                terms = np.unique(words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([*terms.tolist(), None], pa.int64()), pa.array([*[1] * len(terms), len(words)], pa.int64())], names=["term", "n"])
+
+    return items.select("text").mapInArrow(run, "term long, n long")
+
+
 def shards(items: DataFrame, size: int = SHARD_ITEMS) -> Iterator[Index]:
-    """Indexes of at most about ``size`` items each."""
+    """Indexes of at most about ``size`` items each, with the statistics of all items."""
     n = items.count()
     parts = max(1, -(-n // size))
+    counts = materialize(_terms(items).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"), F.max("n").alias("most")), "item-terms") if parts > 1 else None
+    lengths = counts.where("term is null").first() if parts > 1 else None
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text").orderBy("item_id", "text").toPandas()
-        yield build_index(rows["item_id"].tolist(), rows["text"].tolist())
+        shard = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        rows = shard.select("item_id", "text").orderBy("item_id", "text").toPandas()
+        whole = None
+        if parts > 1:
+            own = counts.join(_terms(shard).where("term is not null").select("term").distinct(), "term").select("term", "df").toPandas()  # the shard's words
+            hashes = own["term"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(hashes)
+            whole = Statistics(n, lengths.total / n, max(1, lengths.most), hashes[order], own["df"].to_numpy(np.int64)[order])
+        yield build_index(rows["item_id"].tolist(), rows["text"].tolist(), whole=whole)
 
 
 def find(docs: DataFrame, items: DataFrame, minimum: float = MIN_SCORE, overlap: float = MIN_OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:

@@ -156,6 +156,24 @@ def test_decontamination(spark):
     assert decontaminate.find(docs.limit(0), bench).count() == 0 == decontaminate.find(docs, bench.limit(0)).count()
 
 
+def test_decontamination_does_not_depend_on_shards(spark):
+    r = random.Random(8)
+    vocab = [words_of(r, 1) for _ in range(150)]
+    items = [(i, " ".join(r.choice(vocab[: 20 + i]) for _ in range(10 + i)) + ". " + " ".join(r.choice(vocab) for _ in range(8)) + ".") for i in range(60)] + [(60, None), (61, "")]
+    rows = [(i, words_of(r, 30) + " " + " ".join(w for w in t.split() if r.random() < 0.93) + " " + words_of(r, 30)) for i, t in items[:60]]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted(map(tuple, decontaminate.find(docs, bench, 0.6, 0.3, shard_items=n).collect())) for n in (1000, 9))
+    assert whole == parts and len(whole) > 10 and any(x[2] < 0.99 for x in whole)
+
+
+def test_decontamination_of_items_that_end_without_words(spark):
+    body = "Which of the seven rivers crosses the old border twice? The third one does, as the map of the north shows."
+    items = [(0, body + " ..."), (1, "?! ... " + "Only one sentence with some words in it stands here"), (2, "... - !")]
+    docs = documents(spark, [(i, "some text before it and " + t + " and some after it") for i, t in items])
+    found = {(x.doc_id, x.item_id) for x in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(0, 0), (1, 1)}
+
+
 def test_wand_equals_exhaustive_scoring():
     r = random.Random(5)
     vocab = [words_of(r, 1) for _ in range(60)]
