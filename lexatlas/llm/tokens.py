@@ -1,9 +1,9 @@
-"""Byte-pair ids of whole texts, with a bounded word cache per Python worker.
+"""Byte-pair ids of whole texts, without any state that grows in a worker.
 
-A byte-level BPE with the usual letter/number/punctuation splitter never lets
-a token cross a single space that stands between two non-space characters, so
-a text is encoded word by word and each distinct word only once. Texts in
-which a space touches other white space are encoded in one piece.
+Where the i-th merge makes the i-th id, the rank form of the same vocabulary
+gives the same ids faster; it takes texts of Latin characters, whose letters and
+digits every Unicode version classes alike. All other texts, and those with very
+long runs without a break, go through the vocabulary's own tokenizer.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words kept per worker; later words are encoded without being kept.
-CACHE_WORDS = 800_000
-_UNEVEN = re.compile(r" \s|\s |\A | \Z")
+#: Runs that the rank form's splitter or merger would take too long for.
+_LONG = re.compile(r"\S{2000}|\s{500}")
 #: Letters and digits of these blocks are classed alike by every Unicode version.
-_LATIN = re.compile("[\x00-\u024f]*")
+_LATIN = re.compile("[\x00-\u024f]*+")
 #: Fixed value: the splitter of byte-level BPE.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
@@ -65,23 +64,12 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
         fast, special = _ranked(path)
 
-        known: dict[str, bytes] = {}
-
         def encode(text: str) -> bytes:
             if not text:
                 return b""
-            if "  " in text or _UNEVEN.search(text) or any(x in text for x in special):
-                return whole(text)
-            head, *rest = text.split(" ")
-            parts = list(map(known.get, rest))
-            if None in parts:
-                for i, p in enumerate(parts):
-                    if p is None:
-                        w = rest[i]
-                        p = parts[i] = np.array(fast(" " + w), "<u4").tobytes() if fast and _LATIN.fullmatch(w) else whole(" " + w)
-                        if len(known) < CACHE_WORDS:
-                            known[w] = p
-            return whole(head) + b"".join(parts)
+            if fast and _LATIN.fullmatch(text) and not _LONG.search(text) and not any(x in text for x in special):
+                return np.array(fast(text), "<u4").tobytes()
+            return whole(text)
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]
