@@ -362,9 +362,47 @@ def f9_truncate(spark, sf):
     return incidence.incidence(docs, "doc_id", "atts", 7).select(F.col("obj").alias("doc_id"), "att")
 
 
-@query("c7_factorize")
+def _greedy_sql(pairs: str, fidelity: float, min_size: int, objs_ge_atts: bool = False) -> str:
+    """Tables s and factors (i, extent, intent, v, gone) of the greedy factorisation of ``pairs`` (obj, att), which
+    ``with recursive`` has to stand before. Each step of s is the whole table: open pairs, objects and attributes of the
+    concept that grows, its open pairs v, pairs covered so far, and dead ends as attribute lists."""
+    wide = "and e >= len(d)" if objs_ge_atts else ""
+    return f"""
+s(n, phase, obj, att, open, inside, held, v, gone, dead) as (
+  select 0, 0, obj, att, 1, 1, 0, 0, 0, []::varchar[][] from {pairs}
+  union all
+  select s.n + (b.kind = 1)::int, s.phase + 1, s.obj, s.att,
+    case when b.kind = 1 and s.inside = 1 and s.held = 1 then 0 else s.open end,
+    case when b.kind = 0 then (s.inside = 1 and list_contains(b.objs, s.obj))::int else 1 end,
+    case when b.kind = 0 then list_contains(b.d, s.att)::int else 0 end,
+    case when b.kind = 0 then b.v else 0 end,
+    s.gone + case when b.kind = 1 then s.v else 0 end,
+    case when b.kind = 2 then list_append(s.dead, b.held) else s.dead end
+  from s cross join (
+    with own as (select obj, att as j from s where inside = 1 and held = 0),
+    pair as (select j, x.att, count(*) as c, sum(open) as u from own join s x on x.obj = own.obj where x.inside = 1 group by 1, 2),
+    size as (select j, c as e from pair where j = att and c >= {min_size}),
+    step as (select j, max(e) as e, sum(u)::int as v, list_sort(list(pair.att)) as d from pair join size using (j) where c = e group by 1),
+    now as (select max(v) as v, list_sort(coalesce(list(distinct att) filter (where held = 1), [])) as held, max(gone) as gone, count(*) as total, any_value(dead) as dead from s),
+    best as (select step.* from step, now where step.v > case when len(now.held) >= greatest({min_size}, 1) then now.v else 0 end and not list_contains(now.dead, d) {wide} order by step.v desc, j limit 1)
+    select case when best.j is not null then 0 when len(now.held) >= greatest({min_size}, 1) then 1 else 2 end as kind, best.v, best.d, now.held,
+      case when best.j is not null then (select list(obj) from s where inside = 1 and att = best.j) end as objs
+    from now left join best on true
+    where now.gone < {fidelity} * now.total - 1e-9 and (best.j is not null or len(now.held) > 0)
+  ) b),
+factors as (
+  select s.n as i, list_sort(list(distinct obj)) as extent, list_sort(list(distinct att)) as intent, max(v) as v, max(gone) + max(v) as gone
+  from s join (select n, max(phase) as phase from s group by 1) e on s.n = e.n and s.phase = e.phase where inside = 1 and held = 1 group by 1)"""
+
+
+@query(
+    "c7_factorize",
+    f"""with recursive {d.SQL_INCIDENCE}, kept as (select obj, att from inc where att in (select att from inc group by 1 having count(*) >= 3)), {_greedy_sql("kept", 0.8, 2)}
+    select i::int as i, array_to_string(extent, ',') as extent, array_to_string(intent, ',') as intent, round(v / (select count(*) from kept), 8) as score, round(gone / (select count(*) from kept), 8) as covered from factors""",
+)
 def c7_factorize(spark, sf):
-    return factorize.factorize(incidence.clean(d.incidence(spark, sf), 3), fidelity=0.8, min_size=2)
+    found = factorize.factorize(incidence.clean(d.incidence(spark, sf), 3), fidelity=0.8, min_size=2)
+    return found.select("i", F.array_join("extent", ",").alias("extent"), F.array_join("intent", ",").alias("intent"), F.round("score", 8).alias("score"), F.round("covered", 8).alias("covered"))
 
 
 @query(
@@ -384,6 +422,7 @@ def c8_cutoff(spark, sf):
 def _entity_lists(spark, sf) -> DataFrame:
     provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf))
     contexts = _contexts(spark, sf).withColumn("key", F.concat_ws("::", "target", "tag"))
+    contexts = senses.first_contexts(contexts, "key", senses.CONTEXTS, ["doc_id", "first_idx"])  # before the expensive predictions
     lists = substitutes.substitutes(provider, contexts, 50, stopwords=_stopwords(spark), min_length=4)
     joined = contexts.select("key", "context_id", "doc_id", "first_idx").join(lists, "context_id")
     return joined.select("key", (F.col("doc_id") * 1_000_000 + F.col("first_idx")).alias("context_id"), "terms")

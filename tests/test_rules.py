@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -120,6 +121,35 @@ def test_distributed_factors_agree(spark):
     pairs = spark.createDataFrame(rows, "obj string, att string")
     pick = lambda df: [(r.i, r.extent, r.intent, round(r.score, 9)) for r in df.orderBy("i").collect()]
     assert pick(factorize.factorize(pairs, min_size=2, limit=4)) == pick(factorize.factorize(pairs, min_size=2, limit=4, max_local=5))
+    # single attributes only lead on, some to dead ends
+    rows = [(f"o{i}", a) for i in range(9) for a in (f"a{i % 2}", f"b{i % 3}", f"z{i}")] + [(f"p{i}", "y") for i in range(3)]
+    pairs = spark.createDataFrame(rows, "obj string, att string")
+    one = pick(factorize.factorize(pairs, min_size=2, objs_ge_atts=True))
+    assert one and one == pick(factorize.factorize(pairs, min_size=2, objs_ge_atts=True, max_local=5))
+
+
+def test_factors_pass_through_small_concepts():
+    """Every single attribute has a large extent, and only pairs of attributes may leave."""
+    rows = {f"o{i:02}": {f"a{i % 4}", f"b{i % 5}", f"c{i % 3}"} for i in range(60)}
+    found = list(factorize.factors_of(rows, 0.8, min_size=2))
+    assert found and all(len(i) >= 2 for _, i, _, _ in found) and found[-1][3] >= 0.8
+    assert [(len(e), i) for e, i, _, _ in found[:2]] == [(5, ["a0", "c0"]), (5, ["a0", "c1"])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefgh"), st.sets(st.sampled_from("uvwxyz"), min_size=1), min_size=1), st.integers(0, 3), st.booleans())
+def test_no_allowed_concept_is_left(rows, least, wide):
+    left = {(o, a) for o, s in rows.items() for a in s}
+    for extent, intent, _, _ in factorize.factors_of(rows, min_size=least, objs_ge_atts=wide):
+        cells = {(o, a) for o in extent for a in intent}
+        assert cells & left and min(len(extent), len(intent)) >= least and (not wide or len(extent) >= len(intent))
+        left -= cells
+    for n in range(1, 7):
+        for atts in combinations("uvwxyz", n):
+            extent = {o for o in rows if set(atts) <= rows[o]}
+            intent = set.intersection(*(rows[o] for o in extent)) if extent else set()
+            if len(extent) >= max(least, 1) and len(intent) >= least and (not wide or len(extent) >= len(intent)):
+                assert not {(o, a) for o in extent for a in intent} & left
 
 
 def test_senses(spark):
