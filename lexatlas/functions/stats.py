@@ -46,19 +46,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def scott_bandwidth(x: np.ndarray) -> float:
-    return float(np.std(x, ddof=1)) * len(x) ** (-1 / 5)
+def scott_bandwidth(dev: float, n: float) -> float:
+    """From the sample deviation of n values."""
+    return dev * n ** (-1 / 5)
 
 
-def kde(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Gaussian kernel density with Scott's bandwidth."""
-    h = scott_bandwidth(x)
+def kde(x: np.ndarray, at: np.ndarray, weights: np.ndarray, dev: float) -> np.ndarray:
+    """Gaussian kernel density with Scott's bandwidth of values ``x`` that occur ``weights`` times."""
+    h = scott_bandwidth(dev, weights.sum())
     z = (at[:, None] - x[None, :]) / h
-    return np.exp(-z * z / 2).sum(1) / (len(x) * h * math.sqrt(2 * math.pi))
+    return (np.exp(-z * z / 2) * weights).sum(1) / (weights.sum() * h * math.sqrt(2 * math.pi))
 
 
-def kde_mass(x: np.ndarray, lo: float, hi: np.ndarray) -> np.ndarray:
-    """Mass of the density between lo and each of hi."""
-    h = scott_bandwidth(x) * math.sqrt(2)
+def kde_mass(x: np.ndarray, lo: float, hi: np.ndarray, weights: np.ndarray, dev: float) -> np.ndarray:
+    """Mass of that density between lo and each of hi."""
+    h = scott_bandwidth(dev, weights.sum()) * math.sqrt(2)
     erf = np.vectorize(math.erf, otypes=[float])
-    return (erf((hi[:, None] - x) / h) - erf((lo - x) / h)[None, :]).mean(1) / 2
+    inside = erf((hi[:, None] - x) / h) - erf((lo - x) / h)[None, :]
+    return (inside * weights).sum(1) / (2 * weights.sum())

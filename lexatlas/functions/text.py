@@ -1,4 +1,4 @@
-"""String columns: trimming, URIs, sense keys, language names."""
+"""String columns: trimming, URIs, sense keys."""
 
 from __future__ import annotations
 
@@ -54,10 +54,3 @@ def split_key(c: Column | str) -> tuple[Column, Column]:
     """(surface, tag) of ``surface::tag``."""
     parts = F.split(col(c), "::")
     return parts[0], F.element_at(parts, -1)
-
-
-def language(c: Column | str) -> Column:
-    """de, en, nl or es by the language's name or code; null for others."""
-    low = F.lower(col(c))
-    known = F.when(low.startswith("de") | low.startswith("ge"), "de").when(low.startswith("en"), "en")
-    return known.when(low.startswith("nl"), "nl").when(low.startswith("es") | low.startswith("sp"), "es")

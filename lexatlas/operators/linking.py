@@ -6,9 +6,9 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexatlas.functions.text import is_uri, local_name, strip, without_sense
+from lexatlas.sources.services import PLACEHOLDERS
 from lexatlas.sources.tables import labels_for
 
 ENTITY_PREFIX = "<http://www.wikidata.org/entity/"
@@ -18,6 +18,25 @@ IGNORED = ("Q16889133", "Q35120", "Q36161")
 PROPERTIES = ("P279", "P31")
 
 
+def link_key(surface: Column, context: Column | None = None) -> Column:
+    """A name for a surface form in its context, the same in every run."""
+    return F.concat(F.md5(surface), F.lit("_@_"), F.md5(F.lit("") if context is None else context))
+
+
+def made_uri(surface: Column) -> Column:
+    """An address for a concept no linker knows, the same in every run."""
+    h = F.md5(surface)
+    part = lambda at, n: F.substring(h, at, n)
+    name = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+    return F.concat(F.lit("<https://some.uri/"), name, F.lit("/"), F.regexp_replace(F.lower(strip(surface)), r"(?U)\s+", "_"), F.lit(">"))
+
+
+def standalone(surfaces: DataFrame, lang: str) -> DataFrame:
+    """``surfaces`` (ne) as mentions (context_id, ne, context, start, end) in a made-up context."""
+    context = F.concat("ne", F.lit(PLACEHOLDERS.get(lang, PLACEHOLDERS["en"])))
+    return surfaces.select("ne").distinct().select(link_key(F.col("ne"), context).alias("context_id"), "ne", context.alias("context"), F.lit(0).alias("start"), F.length("ne").alias("end"))
+
+
 class EntityLinker(Protocol):
     """What a linker offers; every method maps DataFrames to DataFrames."""
 
@@ -101,11 +120,6 @@ def best_spans(mentions: DataFrame, candidates: DataFrame, min_score: float = MI
     return found.withColumn("uri", uri).drop("wid")
 
 
-def standalone_context(surface: Column, filler: str) -> Column:
-    """A surface form with placeholder text around it, for linking without a context."""
-    return F.concat(surface, F.lit(" "), F.lit(filler))
-
-
 def transitive_broaders(starts: DataFrame, edges: DataFrame, hops: int = 4, properties: tuple[str, ...] = PROPERTIES, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(entity, broader): everything within ``hops`` steps of each start (entity).
 
@@ -154,7 +168,3 @@ def surfaces(entities: DataFrame, forms: DataFrame) -> DataFrame:
     plain = entities.select("entity", without_sense("entity").alias("uri"))
     return plain.join(forms.select("uri", "surface"), "uri", "left").select("entity", F.coalesce("surface", "entity").alias("surface"))
 
-
-def first_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("r = 1").drop("r")

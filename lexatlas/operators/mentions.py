@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexatlas.functions.text import is_blank
 
@@ -73,6 +74,9 @@ def crop(tokens: Column, target: Column, limit: int = 300) -> tuple[Column, Colu
     return F.when(n > limit, F.slice(tokens, lo + 1, hi - lo)).otherwise(tokens), F.when(n > limit, target - lo).otherwise(target)
 
 
-def group_mentions(mentions: DataFrame, by: str, order: str = "mention_id") -> DataFrame:
-    """by, mentions (ids in order) and their number."""
-    return mentions.groupBy(by).agg(F.array_sort(F.collect_list(order)).alias("mentions"), F.count("*").alias("n"))
+def group_mentions(mentions: DataFrame, by: str, order: str = "mention_id", first: int = 50) -> DataFrame:
+    """by, n, lowest and highest id, and mentions: the ``first`` ids in order (what senses are induced from)."""
+    all_ = mentions.groupBy(by).agg(F.count("*").alias("n"), F.min(order).alias("lowest"), F.max(order).alias("highest"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    listed = mentions.select(by, order).withColumn("r", rank).where(F.col("r") <= first).groupBy(by).agg(F.array_sort(F.collect_list(order)).alias("mentions"))
+    return all_.join(listed, by)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import deque
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexatlas.functions.stats import kde, kde_mass
-from lexatlas.runtime import ship_package
+from lexatlas.runtime import materialize, ship_package
+
+#: Bins of a group of values whose densities are compared.
+BINS = 2048
 
 
 def repaired(classes: list[list[str | None]], start: Callable[[str], int]) -> None:
@@ -69,27 +73,43 @@ def repaired(classes: list[list[str | None]], start: Callable[[str], int]) -> No
         has[end].add(e)
 
 
+def _running(rows: DataFrame, by: list[str], order: list[str], amount: Column) -> DataFrame:
+    """``rows`` with __sum: ``amount`` added up over each ``by`` in the order of the hash ``order[0]`` and the columns after it.
+
+    Rows are added up inside 4096 ranges of the hash and the ranges' totals then, so no task goes through all rows of a ``by``.
+    """
+    ranged = rows.withColumn("__range", F.substring(order[0], 1, 3)).withColumn("__amount", amount)
+    totals = ranged.groupBy(*by, "__range").agg(F.sum("__amount").alias("__before"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__before").over(earlier), F.lit(0)))
+    inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("__in", F.sum("__amount").over(inside)).join(totals, [*by, "__range"])
+    return summed.withColumn("__sum", F.col("__in") + F.col("__before")).drop("__range", "__amount", "__in", "__before")
+
+
 def random_candidates(candidates: DataFrame, num_random: int, seed: int = 0, spare: int = 2, by: list[str] | None = None) -> DataFrame:
     """replicate, cand, entities: the bag of all entities dealt anew to classes of the same sizes.
 
-    The order is a hash of entity, occurrence, replicate and seed, so a rerun
+    The order is a hash of entity, class, place, replicate and seed, so a rerun
     gives the same classes. Deals in which a class holds an entity twice are
     ``repaired`` (each in one task, which holds its bag), so there are always
     ``num_random`` replicates; ``spare`` has no use any more and is kept for callers.
     """
     by = by or []
-    ship_package(candidates.sparkSession)
+    spark = candidates.sparkSession
+    ship_package(spark)
+    one = F.lit(1).cast("long")
     tries = F.explode(F.sequence(F.lit(0), F.lit(num_random - 1))).alias("replicate")
     bag = candidates.select(*by, F.posexplode("entities").alias("place", "entity"), "cand")
     dealt = bag.select(*by, "entity", "place", "cand", tries).where(F.col("replicate").between(0, num_random - 1))
-    order = F.row_number().over(Window.partitionBy(*by, "replicate").orderBy(F.xxhash64("entity", "cand", "place", "replicate", F.lit(seed)), "entity", "cand", "place"))
-    dealt = dealt.select(*by, "replicate", "entity", order.alias("at"))
-    ends = F.sum(F.size("entities")).over(Window.partitionBy(*by).orderBy("cand"))
-    bounds = candidates.where(F.size("entities") > 0).select(*by, "cand", ends.alias("hi"), F.size("entities").alias("n"))
-    slots = bounds.select(*by, "cand", F.explode(F.sequence(F.col("hi") - F.col("n") + 1, F.col("hi"))).alias("at"))
+    dealt = dealt.withColumn("h", F.md5(F.concat_ws("|", "entity", "cand", "place", "replicate", F.lit(str(seed)))))
+    dealt = _running(dealt, [*by, "replicate"], ["h", "entity", "cand", "place"], one).select(*by, "replicate", "entity", F.col("__sum").alias("at"))
+    sized = candidates.where(F.size("entities") > 0).select(*by, "cand", F.size("entities").cast("long").alias("n"), F.md5(F.col("cand").cast("string")).alias("h"))
+    bounds = _running(sized, by, ["h", "cand"], F.col("n"))
+    slots = bounds.select(*by, "cand", F.explode(F.sequence(F.col("__sum") - F.col("n") + 1, F.col("__sum"))).alias("at"))
     placed = dealt.join(slots, [*by, "at"]).groupBy(*by, "replicate", "cand").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-    bad = F.max(F.size(F.array_distinct("entities")) < F.size("entities")).over(Window.partitionBy(*by, "replicate"))
-    placed = placed.withColumn("bad", bad)
+    placed = materialize(placed, "deals")
+    doubles = placed.where(F.size(F.array_distinct("entities")) < F.size("entities")).select(*by, "replicate").distinct()
     columns = [*by, "replicate", "cand", "entities"]
 
     def run(frame):
@@ -99,7 +119,8 @@ def random_candidates(candidates: DataFrame, num_random: int, seed: int = 0, spa
         repaired(lists, lambda e: zlib.crc32(f"{salt}{e}".encode()))
         return frame.assign(entities=[sorted(e) for e in lists])
 
-    good, doubled = placed.where("not bad").select(*columns), placed.where("bad").select(*columns)
+    good = placed.join(doubles, [*by, "replicate"], "left_anti").select(*columns)
+    doubled = placed.join(doubles, [*by, "replicate"], "left_semi").select(*columns)
     return good.unionByName(doubled.groupBy(*by, "replicate").applyInPandas(run, doubled.schema))
 
 
@@ -115,46 +136,67 @@ def above_random(values: DataFrame, by: list[str], deviations: float = 2.0) -> D
     return values.select(*by).distinct().join(counted, by, "left").withColumn("above", F.coalesce("above", F.lit(0).cast("long")))
 
 
-def _split(frame) -> tuple[np.ndarray, np.ndarray, bool]:
-    induced, rand = frame["value"][~frame["is_random"]], frame["value"][frame["is_random"]].dropna()
-    return np.sort(induced.dropna().to_numpy(float)), np.sort(rand.to_numpy(float)), bool(induced.isna().any())
+def binned(values: DataFrame, by: list[str], bins: int = BINS) -> DataFrame:
+    """by, is_random, n, x (mean of a bin's values), and of the whole group: lo, hi, induced, random (numbers of values),
+    dev (sample deviation of random values), hole (whether an induced value is missing).
+
+    Equal bins of the joint range, added up before anything moves, so a group has at most 2 ``bins`` rows.
+    """
+    of = values.groupBy(*by).agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("value").isNotNull() & ~F.col("is_random")).alias("induced"), F.count_if(F.col("value").isNotNull() & F.col("is_random")).alias("random"),
+        F.stddev_samp(F.when(F.col("is_random"), F.col("value"))).alias("dev"), F.coalesce(F.bool_or(F.col("value").isNull() & ~F.col("is_random")), F.lit(False)).alias("hole"),
+    )
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    placed = values.where("value is not null").join(of.select(*by, "lo", "hi"), by).withColumn("bin", at)
+    cells = placed.groupBy(*by, "is_random", "bin").agg(F.count("*").alias("n"), F.avg("value").alias("x"))
+    return of.join(cells.drop("bin"), by, "left")
+
+
+def _bins(frame) -> tuple:
+    """(induced x, induced n, random x, random n, the group's values) of one group's bins."""
+    parts = []
+    for kind in (False, True):
+        own = frame[frame["is_random"].fillna(not kind).astype(bool) == kind].sort_values("x")
+        parts += [own["x"].to_numpy(float), own["n"].to_numpy(float)]
+    return (*parts, frame.iloc[0])
 
 
 def mean_tail(values: DataFrame, by: list[str]) -> DataFrame:
-    """by, tail: mean over induced values of the random density's mass beyond them (one experiment per group)."""
+    """by, tail: mean over induced values of the random density's mass beyond them (one experiment per group), from BINS bins."""
     ship_package(values.sparkSession)
 
     def run(key, frame):
         import pandas as pd
 
-        induced, rand, _ = _split(frame)
+        x, n, r, w, of = _bins(frame)
         tail = None
-        if len(induced) and len(rand) > 1 and rand[0] < rand[-1]:
-            both = np.concatenate((induced, rand))
-            lo = both.min() - (both.max() - both.min())
-            tail = float((1 - kde_mass(rand, lo, induced)).mean())
+        if of["induced"] and of["random"] > 1 and of["dev"] > 0:
+            lo = of["lo"] - (of["hi"] - of["lo"])
+            tail = float(np.average(1 - kde_mass(r, lo, x, w, of["dev"]), weights=n))
         return pd.DataFrame([(*key, tail)], columns=[*by, "tail"])
 
     kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in by)
-    return values.groupBy(*by).applyInPandas(run, f"{kinds}, tail double")
+    return binned(values, by).groupBy(*by).applyInPandas(run, f"{kinds}, tail double")
 
 
-def divergence(values: DataFrame, by: list[str], bins: int = 300) -> DataFrame:
-    """by, kl: Kullback-Leibler divergence of the random density from the induced one on bins + 1 points; 0 where the induced one has no density."""
+def divergence(values: DataFrame, by: list[str], points: int = 300) -> DataFrame:
+    """by, kl: Kullback-Leibler divergence of the random density from the induced one on points + 1 points, from BINS bins;
+    0 where the induced one has no density."""
     ship_package(values.sparkSession)
 
     def run(key, frame):
         import pandas as pd
 
-        induced, rand, hole = _split(frame)
+        x, n, r, w, of = _bins(frame)
         kl = None
-        if len(rand) > 1 and rand[0] < rand[-1]:
+        if of["random"] > 1 and of["dev"] > 0:
             kl = 0.0
-            if not hole and len(induced) > 1 and induced[0] < induced[-1]:
-                both = np.concatenate((induced, rand))
-                width = both.max() - both.min()
-                at = np.linspace(both.min() - width / 2, both.max() + width / 2, bins + 1)
-                p, q = kde(rand, at), kde(induced, at)
+            if not of["hole"] and of["induced"] > 1 and len(x) > 1:
+                width = of["hi"] - of["lo"]
+                at = np.linspace(of["lo"] - width / 2, of["hi"] + width / 2, points + 1)
+                dev = math.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n) * n.sum() / (n.sum() - 1))
+                p, q = kde(r, at, w, of["dev"]), kde(x, at, n, dev)
                 p, q = p / p.sum(), q / q.sum()
                 with np.errstate(divide="ignore", invalid="ignore"):
                     terms = np.where(p > 0, p * np.log(p / q), 0.0)
@@ -162,7 +204,7 @@ def divergence(values: DataFrame, by: list[str], bins: int = 300) -> DataFrame:
         return pd.DataFrame([(*key, kl)], columns=[*by, "kl"])
 
     kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in by)
-    return values.groupBy(*by).applyInPandas(run, f"{kinds}, kl double")
+    return binned(values, by).groupBy(*by).applyInPandas(run, f"{kinds}, kl double")
 
 
 def histogram(values: DataFrame, by: list[str], bins: int = 10) -> DataFrame:

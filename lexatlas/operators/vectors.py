@@ -15,20 +15,35 @@ def mean_vectors(vectors: DataFrame, by: str, vector: str = "embedding") -> Data
     return means.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(by, F.col("v.x").alias("centroid"))
 
 
-def disambiguate(targets: DataFrame, senses: DataFrame, definitions: DataFrame | None = None, vector: str = "embedding") -> DataFrame:
-    """Every target row against every sense: adds sense and score (and def_score).
+#: Senses of an inventory that may travel to every task, and of one block of a larger one.
+MAX_SENSES = 1000
 
-    ``senses`` (sense, centroid): an empty or missing centroid scores 0. The
-    sense inventory of one target is small, so it travels as one array on each
-    target row: no row pairs are shuffled. ``definitions``: sense, centroid.
+
+def disambiguate(targets: DataFrame, senses: DataFrame, definitions: DataFrame | None = None, vector: str = "embedding", by: list[str] | None = None) -> DataFrame:
+    """Every target row against the senses that share its ``by`` columns (say its lemma), or against all: adds sense and score (and def_score).
+
+    ``senses`` ([by,] sense, centroid): an empty or missing centroid scores 0. Senses
+    travel as arrays on target rows. An inventory for all targets is broadcast up to
+    MAX_SENSES senses; a larger one meets the targets in blocks of about so many, dealt
+    over all partitions. ``definitions``: sense, centroid.
     """
     inventory = senses
     if definitions is not None:
         inventory = senses.join(definitions.select("sense", F.col("centroid").alias("definition")), "sense", "left")
     else:
         inventory = senses.withColumn("definition", F.lit(None).cast("array<double>"))
-    listed = inventory.agg(F.array_sort(F.collect_list(F.struct("sense", "centroid", "definition"))).alias("inventory"))
-    each = targets.join(F.broadcast(listed)).withColumn("s", F.explode("inventory")).drop("inventory")
+    gathered = F.array_sort(F.collect_list(F.struct("sense", "centroid", "definition"))).alias("inventory")
+    if by:
+        met = targets.join(inventory.groupBy(*by).agg(gathered), by)
+    elif (n := inventory.count()) <= MAX_SENSES:
+        met = targets.join(F.broadcast(inventory.agg(gathered)))
+    else:
+        blocks, deals = -(-n // MAX_SENSES), int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        span = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        listed = inventory.withColumn("__block", F.pmod(F.hash("sense"), F.lit(blocks))).groupBy("__block").agg(gathered).withColumn("__deal", span(deals))
+        dealt = targets.withColumn("__deal", F.pmod(F.hash(vector), F.lit(deals))).withColumn("__block", span(blocks))
+        met = dealt.join(listed, ["__block", "__deal"]).drop("__block", "__deal")
+    each = met.withColumn("s", F.explode("inventory")).drop("inventory")
     score = F.coalesce(cosine(F.col(vector), F.col("s.centroid")), F.lit(0.0))
     out = each.withColumn("sense", F.col("s.sense")).withColumn("score", score)
     if definitions is not None:

@@ -56,7 +56,7 @@ def n3_find_target(spark, sf):
 def a1_mention_groups(spark, sf):
     m = d.mentions(spark, sf).withColumn("key", F.concat_ws("::", "ne", "tag"))
     g = mentions.group_mentions(m, "key", "doc_id")
-    return g.select("key", "n", F.element_at("mentions", 1).alias("first_doc"), F.element_at("mentions", -1).alias("last_doc"))
+    return g.select("key", "n", F.col("lowest").alias("first_doc"), F.col("highest").alias("last_doc"))
 
 
 @query("a2_distinct_counts", f"with {d.SQL_MENTIONS} select count(*) as occurrences, count(distinct ne) as surfaces, count(distinct ne || '::' || tag) as pairs, count(distinct context) as contexts from mentions")
@@ -209,21 +209,25 @@ def _contexts(spark, sf) -> DataFrame:
     return m.select("doc_id", F.concat_ws(":", "doc_id", "first_idx").alias("context_id"), F.element_at(F.split(before, " "), -1).alias("left"), F.col("ne").alias("target"), F.split(after, " ")[0].alias("right"), "context", "start", "end", "first_idx", "tag")
 
 
-_BIGRAMS = """
+#: Exact sums of neighbour counts; as the ``limit``-th best sum is at least any list's ``limit``-th count, a term that belongs to the
+#: best has its share of it in one list at least, and only those terms are added up.
+_SCORES = """
 bi as (select a.form as a, b.form as b, count(*) as n from tok a join tok b on a.doc_id = b.doc_id and b.tok_idx = a.tok_idx + 1 group by 1, 2),
-nxt as (select a as word, b as term, n from (select *, row_number() over (partition by a order by n desc, b) as r from bi) where r <= {limit}),
-prv as (select b as word, a as term, n from (select *, row_number() over (partition by b order by n desc, a) as r from bi) where r <= {limit}),
+side as (select 0 as s, a as word, b as term, n from bi union all select 1, b, a, n from bi),
+ends as (select s, word, coalesce(min(case when r = {limit} then n end), 0) as last from (select s, word, n, row_number() over (partition by s, word order by n desc) as r from side) group by 1, 2),
 ctx as (
-  select doc_id || ':' || first_idx as context_id, string_split(before, ' ')[-1] as l, ne as t, string_split(after, ' ')[1] as r from mentions),
-hits as (
-  select context_id, m as masked, term, n from ctx join nxt on l = word, unnest([true, false]) as x(m)
-  union all select context_id, m, term, n from ctx join prv on r = word, unnest([true, false]) as x(m)
-  union all select context_id, false, term, n from ctx join nxt on t = word
-  union all select context_id, false, term, n from ctx join prv on t = word),
-pred as (select context_id, masked, term, sum(n)::double as score from hits group by 1, 2, 3),
-seen as (select * from (select *, row_number() over (partition by context_id, masked order by score desc, term) as v from pred) where v <= {limit}),
+  select doc_id || ':' || first_idx as context_id, masked, string_split(before, ' ')[-1] as l, case when masked then '' else ne end as t, string_split(after, ' ')[1] as r
+  from mentions, unnest([true, false]) as x(masked)),
+q as (select row_number() over () as q, * from (select distinct masked, l, t, r from ctx)),
+lists as (select q, 0 as s, l as word from q union all select q, 1, r from q union all select q, 0, t from q where not masked union all select q, 1, t from q where not masked),
+known as (select q, s, word, last from lists join ends using (s, word)),
+share as (select q, greatest(ceil(max(last) / count(*)), 1) as share from known group by 1),
+cand as (select distinct q, term from known join share using (q) join side using (s, word) where n >= share),
+pred as (select q, term, sum(n)::double as score from cand join known using (q) join side using (s, word, term) group by 1, 2),
+seen as (select * from (select *, row_number() over (partition by q order by score desc, term) as v from pred) where v <= {limit}),
 fit as (select * from seen where length(term) >= 3 and not starts_with(term, '##') and not starts_with(term, '[') and lower(term) not in ('the', 'and', 'that', 'die', 'der', 'les', 'los')),
-ranked as (select context_id, masked, row_number() over (partition by context_id, masked order by v, term) - 1 as rank, term from fit)
+best as (select q, row_number() over (partition by q order by v) - 1 as rank, term from fit),
+ranked as (select context_id, masked, rank, term from ctx join q using (masked, l, t, r) join best using (q))
 """
 
 
@@ -237,28 +241,27 @@ def f1_candidate_filter(spark, sf):
     return substitutes.fit_terms(terms, _stopwords(spark))
 
 
-@query("f2_f4_tags_and_lemmas", f"with {d.SQL_TOKENS}, t as (select distinct form from tok) select form as raw, case when length(form) % 2 = 0 then lower(form) else form end as term from t where form ~ '^[A-Za-z]+$' and length(form) % 3 > 0")
+@query("f2_f4_tags_and_lemmas", f"with {d.SQL_TOKENS}, t as (select distinct form from tok) select form as raw, case when length(form) % 2 = 0 then 'lemma of ' || form else form end as term from t where length(form) % 3 > 0")
 def f2_f4_tags_and_lemmas(spark, sf):
-    terms = d.token_arrays(spark, sf).select(F.explode("forms").alias("term")).distinct().where(F.col("term").rlike("^[A-Za-z]+$"))
+    terms = d.token_arrays(spark, sf).select(F.explode("forms").alias("term")).distinct()
     lexicon = terms.select("term", F.when(F.length("term") % 3 > 0, "NN").otherwise("VB").alias("tag"))
-    lemmas = terms.where(F.length("term") % 2 == 0).select("term", F.lower("term").alias("lemma"))
+    lemmas = terms.where(F.length("term") % 2 == 0).select("term", F.concat(F.lit("lemma of "), "term").alias("lemma"))
     return substitutes.lemmatised(substitutes.fit_tags(terms, lexicon, "N").withColumn("raw", F.col("term")), lemmas).select("raw", "term")
 
 
-@query("l5_top_terms", f"with {d.SQL_MENTIONS}, {_BIGRAMS.format(limit=41)} select context_id, masked, rank::int as rank, term from ranked where rank < 10")
+@query("l5_top_terms", f"with {d.SQL_MENTIONS}, {_SCORES.format(limit=41)} select context_id, masked, rank::int as rank, term from ranked where rank < 10")
 def l5_top_terms(spark, sf):
-    contexts = _contexts(spark, sf)
-    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf), cut=True)
-    return substitutes.top_terms(provider.predictions(contexts, 41), 10, _stopwords(spark))
+    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf))
+    return substitutes.top_terms(provider.predictions(_contexts(spark, sf), 41), 10, _stopwords(spark))
 
 
 @query(
     "l6_l7_substitutes",
-    f"with {d.SQL_MENTIONS}, {_BIGRAMS.format(limit=21)} select context_id, string_agg(term, '|' order by masked, rank) as terms from ranked where rank < 5 group by 1",
+    f"with {d.SQL_MENTIONS}, {_SCORES.format(limit=101)} select context_id, string_agg(term, '|' order by masked, rank) as terms from ranked where rank < 25 group by 1",
 )
 def l6_l7_substitutes(spark, sf):
-    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf), cut=True)
-    return substitutes.substitutes(provider, _contexts(spark, sf), 10, stopwords=_stopwords(spark)).select("context_id", F.array_join("terms", "|").alias("terms"))
+    provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf))
+    return substitutes.substitutes(provider, _contexts(spark, sf), 50, stopwords=_stopwords(spark)).select("context_id", F.array_join("terms", "|").alias("terms"))
 
 
 @query(
@@ -363,41 +366,43 @@ def f9_truncate(spark, sf):
 
 
 def _greedy_sql(pairs: str, fidelity: float, min_size: int, objs_ge_atts: bool = False) -> str:
-    """Tables s and factors (i, extent, intent, v, gone) of the greedy factorisation of ``pairs`` (obj, att), which
-    ``with recursive`` has to stand before. Each step of s is the whole table: open pairs, objects and attributes of the
-    concept that grows, its open pairs v, pairs covered so far, and dead ends as attribute lists."""
+    """Tables s and factors (g, i, extent, intent, v, gone) of the greedy factorisation of each group of ``pairs`` (g, obj, att),
+    after ``with recursive``. Each step of s holds every pair: whether it is open, whether its object and attribute belong to the
+    concept that grows, that concept's open pairs v, the pairs covered so far, and the dead ends as attribute lists."""
     wide = "and e >= len(d)" if objs_ge_atts else ""
     return f"""
-s(n, phase, obj, att, open, inside, held, v, gone, dead) as (
-  select 0, 0, obj, att, 1, 1, 0, 0, 0, []::varchar[][] from {pairs}
+s(g, n, phase, obj, att, open, inside, held, v, gone, dead) as (
+  select g, 0, 0, obj, att, 1, 1, 0, 0, 0, []::varchar[][] from {pairs}
   union all
-  select s.n + (b.kind = 1)::int, s.phase + 1, s.obj, s.att,
+  select s.g, s.n + (b.kind = 1)::int, s.phase + 1, s.obj, s.att,
     case when b.kind = 1 and s.inside = 1 and s.held = 1 then 0 else s.open end,
     case when b.kind = 0 then (s.inside = 1 and list_contains(b.objs, s.obj))::int else 1 end,
     case when b.kind = 0 then list_contains(b.d, s.att)::int else 0 end,
     case when b.kind = 0 then b.v else 0 end,
     s.gone + case when b.kind = 1 then s.v else 0 end,
     case when b.kind = 2 then list_append(s.dead, b.held) else s.dead end
-  from s cross join (
-    with own as (select obj, att as j from s where inside = 1 and held = 0),
-    pair as (select j, x.att, count(*) as c, sum(open) as u from own join s x on x.obj = own.obj where x.inside = 1 group by 1, 2),
-    size as (select j, c as e from pair where j = att and c >= {min_size}),
-    step as (select j, max(e) as e, sum(u)::int as v, list_sort(list(pair.att)) as d from pair join size using (j) where c = e group by 1),
-    now as (select max(v) as v, list_sort(coalesce(list(distinct att) filter (where held = 1), [])) as held, max(gone) as gone, count(*) as total, any_value(dead) as dead from s),
-    best as (select step.* from step, now where step.v > case when len(now.held) >= greatest({min_size}, 1) then now.v else 0 end and not list_contains(now.dead, d) {wide} order by step.v desc, j limit 1)
-    select case when best.j is not null then 0 when len(now.held) >= greatest({min_size}, 1) then 1 else 2 end as kind, best.v, best.d, now.held,
-      case when best.j is not null then (select list(obj) from s where inside = 1 and att = best.j) end as objs
-    from now left join best on true
+  from s join (
+    with own as (select g, obj, att as j from s where inside = 1 and held = 0),
+    pair as (select own.g, j, x.att, count(*) as c, sum(open) as u from own join s x on x.g = own.g and x.obj = own.obj where x.inside = 1 group by 1, 2, 3),
+    size as (select g, j, c as e from pair where j = att and c >= {min_size}),
+    step as (select g, j, max(e) as e, sum(u)::int as v, list_sort(list(pair.att)) as d from pair join size using (g, j) where c = e group by 1, 2),
+    now as (select g, max(v) as v, list_sort(coalesce(list(distinct att) filter (where held = 1), [])) as held, max(gone) as gone, count(*) as total, any_value(dead) as dead from s group by 1),
+    fine as (
+      select step.*, row_number() over (partition by step.g order by step.v desc, j) as r from step join now on now.g = step.g
+      where step.v > case when len(now.held) >= greatest({min_size}, 1) then now.v else 0 end and not list_contains(now.dead, d) {wide}),
+    best as (select fine.*, (select list(obj) from s where s.g = fine.g and inside = 1 and att = fine.j) as objs from fine where r = 1)
+    select now.g, case when best.j is not null then 0 when len(now.held) >= greatest({min_size}, 1) then 1 else 2 end as kind, best.v, best.d, now.held, best.objs
+    from now left join best on best.g = now.g
     where now.gone < {fidelity} * now.total - 1e-9 and (best.j is not null or len(now.held) > 0)
-  ) b),
+  ) b on b.g = s.g),
 factors as (
-  select s.n as i, list_sort(list(distinct obj)) as extent, list_sort(list(distinct att)) as intent, max(v) as v, max(gone) + max(v) as gone
-  from s join (select n, max(phase) as phase from s group by 1) e on s.n = e.n and s.phase = e.phase where inside = 1 and held = 1 group by 1)"""
+  select s.g, s.n as i, list_sort(list(distinct obj)) as extent, list_sort(list(distinct att)) as intent, max(v) as v, max(gone) + max(v) as gone
+  from s join (select g, n, max(phase) as phase from s group by 1, 2) e on s.g = e.g and s.n = e.n and s.phase = e.phase where inside = 1 and held = 1 group by 1, 2)"""
 
 
 @query(
     "c7_factorize",
-    f"""with recursive {d.SQL_INCIDENCE}, kept as (select obj, att from inc where att in (select att from inc group by 1 having count(*) >= 3)), {_greedy_sql("kept", 0.8, 2)}
+    f"""with recursive {d.SQL_INCIDENCE}, kept as (select 0 as g, obj, att from inc where att in (select att from inc group by 1 having count(*) >= 3)), {_greedy_sql("kept", 0.8, 2)}
     select i::int as i, array_to_string(extent, ',') as extent, array_to_string(intent, ',') as intent, round(v / (select count(*) from kept), 8) as score, round(gone / (select count(*) from kept), 8) as covered from factors""",
 )
 def c7_factorize(spark, sf):
@@ -419,6 +424,96 @@ def c8_cutoff(spark, sf):
     return incidence.accepted(f, ["key"])
 
 
+def _line_lists(spark, sf) -> DataFrame:
+    """key = supplier, context_id = line item, terms = seven of its properties in a turning order."""
+    li = table(spark, sf, "lineitem")
+    same = Window.partitionBy("l_suppkey", "l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = li.withColumn("copy", F.row_number().over(same)).where("copy = 1")
+    whole = lambda c: c.cast("int").cast("string")
+    base = F.array(
+        F.concat(F.lit("flag"), "l_returnflag"), F.concat(F.lit("status"), "l_linestatus"), F.concat(F.lit("qty"), whole(F.floor(F.col("l_quantity") / 10))), F.concat(F.lit("disc"), whole(F.round(F.col("l_discount") * 100))),
+        F.concat(F.lit("tax"), whole(F.round(F.col("l_tax") * 100))), F.concat(F.lit("line"), "l_linenumber"), F.concat(F.lit("year"), F.year("l_shipdate")),
+    )
+    turn = (F.col("l_orderkey") % 7).cast("int")
+    return li.select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("context_id"), F.concat(F.slice(base, turn + 1, 7 - turn), F.slice(base, F.lit(1), turn)).alias("terms"))
+
+
+_LINE_LISTS = """
+base as (
+  select l_suppkey as key, l_orderkey * 10 + l_linenumber as context_id, (l_orderkey % 7)::int as turn, ['flag' || l_returnflag, 'status' || l_linestatus, 'qty' || floor(l_quantity / 10)::int, 'disc' || round(l_discount * 100)::int,
+    'tax' || round(l_tax * 100)::int, 'line' || l_linenumber, 'year' || year(l_shipdate)] as t
+  from (select *, row_number() over (partition by l_suppkey, l_orderkey, l_linenumber order by l_partkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as copy from lineitem) where copy = 1),
+lists as (
+  select key, context_id, list_concat(t[turn + 1 :], t[1 : turn]) as terms
+  from (select *, row_number() over (partition by key order by context_id) as r from base) where r <= 30)
+"""
+#: Senses of lists (key, context_id, terms): table senses (key, sense_ix, contexts, descriptors).
+_SENSES_OF = f"""
+places as (select key, context_id, unnest(terms) as term, unnest(range(0, len(terms))) as place from lists),
+many as (select key, count(*) as n from lists group by 1 having count(*) >= 5),
+held as (select distinct key, context_id, term from places join many using (key)),
+common as (select key, term from held join many using (key) group by key, term, n having count(*) >= log10(n) + 1),
+shared as (select held.* from held join common using (key, term)),
+rows as (select key, context_id, list_sort(list(term)) as t from shared group by 1, 2),
+single as (select key, t, min(context_id) as context_id from rows group by 1, 2),
+every as (select key, count(distinct term) as n from shared group by 1),
+fit as (select single.* from single join every using (key) where len(t) < every.n),
+pairs as (select key::varchar as g, lpad(context_id::varchar, 20, '0') as obj, unnest(t) as att from fit),
+{_greedy_sql("pairs", 1.0, 3)},
+cut as (select *, v * (count(*) over w + 3) < coalesce(sum(v) over w, 0) as low from factors window w as (partition by g order by i rows between unbounded preceding and 1 preceding)),
+good as (select * from (select *, max(low::int) over (partition by g order by i) as stop from cut) where stop = 0),
+ranks as (
+  select g.g, g.i, p.term, sum(p.place) as rank from good g, unnest(g.extent) as x(obj), unnest(g.intent) as y(term), (select key, context_id, term, min(place) as place from places group by 1, 2, 3) p
+  where p.key::varchar = g.g and p.context_id = x.obj::bigint and p.term = y.term group by 1, 2, 3),
+clustered as (
+  select g.g::bigint as key, g.i::int as sense_ix, list_transform(g.extent, lambda x: x::bigint) as contexts, (select list(term order by rank, term) from ranks where ranks.g = g.g and ranks.i = g.i)[1:5] as descriptors from good g),
+counts as (select key, term, count(*) as n, min(context_id * 100 + place) as first from places group by 1, 2),
+fallback as (
+  select key, 0 as sense_ix, (select list_sort(list(context_id)) from lists l where l.key = c.key) as contexts, list(term order by n desc, first)[1:5] as descriptors
+  from counts c where key not in (select key from clustered) group by key),
+senses as (select * from clustered union all select * from fallback)
+"""
+
+
+@query("c9_c11_line_senses", f"with recursive {_LINE_LISTS}, {_SENSES_OF} select key, sense_ix, array_to_string(list_sort(contexts), ',') as contexts, array_to_string(descriptors, ',') as descriptors from senses")
+def c9_c11_line_senses(spark, sf):
+    found = senses.induce_senses(_line_lists(spark, sf), "key", 5, 100, min_contexts=5, contexts_limit=30)
+    return found.select("key", "sense_ix", F.array_join(F.transform("contexts", lambda c: c.cast("string")), ",").alias("contexts"), F.array_join("descriptors", ",").alias("descriptors"))
+
+
+def _part_senses(spark, sf) -> DataFrame:
+    """A sense of every part: its size class, type and the words of its name."""
+    p = table(spark, sf, "part")
+    words = F.concat(F.array(F.concat(F.lit("size"), (F.col("p_size") % 10).cast("string")), F.col("p_type")), F.split("p_name", " "))
+    return p.select(F.concat_ws("::", F.col("p_partkey").cast("string"), "p_brand").alias("entity"), words.alias("descriptors"))
+
+
+_PART_CLASSES = f"""
+inc as (select distinct p_partkey::varchar || '::' || p_brand as obj, unnest(list_concat(['size' || (p_size % 10)::varchar, p_type], string_split(p_name, ' '))[1:3]) as att from part),
+kept as (select 0 as g, obj, att from inc where att in (select att from inc group by 1 having count(*) >= 3)), {_greedy_sql("kept", 0.5, 2, True)}"""
+
+
+def _part_classes(spark, sf) -> DataFrame:
+    return classes.induce_classes(_part_senses(spark, sf), k=3, min_descriptors=2)
+
+
+@query(
+    "c13_part_classes",
+    f"with recursive {_PART_CLASSES} select i::int as type_ix, round(v / (select count(*) from kept), 8) as score, round(gone / (select count(*) from kept), 8) as covered, array_to_string(intent, ',') as descriptors, array_to_string(extent, ',') as entities from factors",
+)
+def c13_part_classes(spark, sf):
+    found = _part_classes(spark, sf)
+    return found.select("type_ix", F.round("score", 8).alias("score"), F.round("covered", 8).alias("covered"), F.array_join("descriptors", ",").alias("descriptors"), F.array_join("entities", ",").alias("entities"))
+
+
+@query(
+    "a3_part_tags",
+    f"with recursive {_PART_CLASSES} select i::int as type_ix, split_part(x.e, '::', 2) as tag, count(*) as n from factors, unnest(extent) as x(e) group by 1, 2",
+)
+def a3_part_tags(spark, sf):
+    return classes.tag_histogram(_part_classes(spark, sf))
+
+
 def _entity_lists(spark, sf) -> DataFrame:
     provider = substitutes.DistributionalProvider(d.token_arrays(spark, sf))
     contexts = _contexts(spark, sf).withColumn("key", F.concat_ws("::", "target", "tag"))
@@ -541,9 +636,21 @@ def f10_large_enough(spark, sf):
 # ------------------------------------------------------------ null model
 
 
-@query("p1_random_candidates")
+#: Random deals of classes (cand, entities): table ``deals`` (replicate, cand, entities).
+_DEALS = """
+reps as (select unnest(range(0, {n}))::int as replicate),
+bag as (select cand, (unnest(range(1, len(entities) + 1)) - 1)::int as place, unnest(entities) as entity from {table}),
+dealt as (select replicate, entity, row_number() over (partition by replicate order by md5(entity || '|' || cand || '|' || place || '|' || replicate || '|{seed}'), entity, cand, place) as pos from bag, reps),
+bounds as (select cand, len(entities) as n, sum(len(entities)) over (order by md5(cand), cand) as hi from {table}),
+slots as (select cand, unnest(range(hi::bigint - n + 1, hi::bigint + 1)) as pos from bounds),
+deals as (select replicate, cand, list_sort(list(entity)) as entities from dealt join slots using (pos) group by 1, 2)
+"""
+_CANDIDATES = "cands as (select p_brand as cand, list(p_partkey::varchar order by p_partkey::varchar) as entities from part group by 1)"
+
+
+@query("p1_random_candidates", f"with {_CANDIDATES}, {_DEALS.format(n=5, seed=0, table='cands')} select replicate, cand, array_to_string(entities, ',') as entities from deals")
 def p1_random_candidates(spark, sf):
-    return nullmodel.random_candidates(d.candidates(spark, sf), 5)
+    return nullmodel.random_candidates(d.candidates(spark, sf), 5).select("replicate", "cand", F.array_join("entities", ",").alias("entities"))
 
 
 def _values(spark, sf) -> DataFrame:
@@ -573,20 +680,56 @@ def p5_histogram(spark, sf):
     return nullmodel.histogram(_values(spark, sf), ["l_linenumber"]).withColumns({"lo": F.round("lo", 8), "hi": F.round("hi", 8)})
 
 
-def _small_values(spark, sf) -> DataFrame:
-    """Mean discounts of suppliers: a few hundred values for each line number."""
+#: Bins of a table (g, value, is_random): tables ``o`` (of a group) and ``c`` (cells).
+_CELLS = """
+o as (
+  select g, min(value) as lo, max(value) as hi, count_if(value is not null and not is_random) as induced, count_if(value is not null and is_random) as random,
+    stddev_samp(case when is_random then value end) as dev, coalesce(bool_or(value is null and not is_random), false) as hole
+  from {table} group by 1),
+c as (
+  select t.g, is_random, count(*)::double as n, avg(value) as x
+  from {table} t join o on t.g = o.g where value is not null
+  group by t.g, is_random, case when hi > lo then least(floor((value - lo) / ((hi - lo) / 2048)), 2047) else 0 end)
+"""
+#: The error function by its series with positive terms only; beyond 6 it is 1 in doubles.
+_ERF = "case when abs({z}) > 6 then sign({z}) when {z} = 0 then 0 else sign({z}) * list_sum(list_transform(range(0, 130), lambda i: exp((2 * i + 1) * ln(abs({z})) - lgamma(i + 1.5) - {z} * {z}))) end"
+_TAIL_OF = f"""
+inside as (
+  select i.g, i.x, i.n, sum(r.n * ({_ERF.format(z="((i.x - r.x) / (o.dev * pow(o.random, -0.2) * sqrt(2)))")} - {_ERF.format(z="((2 * o.lo - o.hi - r.x) / (o.dev * pow(o.random, -0.2) * sqrt(2)))")})) / (2 * max(o.random)) as mass
+  from c i join c r on i.g = r.g and not i.is_random and r.is_random join o on o.g = i.g where o.random > 1 and o.dev > 0 group by 1, 2, 3),
+tails as (select o.g, t.tail from o left join (select g, sum(n * (1 - mass)) / sum(n) as tail from inside group by 1) t on t.g = o.g)
+"""
+_KL_OF = """
+dev as (select c.g, sqrt(sum(n * (x - m) * (x - m)) / (sum(n) - 1)) as dev, sum(n) as total, count(*) as cells from c join (select g, sum(n * x) / sum(n) as m from c where not is_random group by 1) a on a.g = c.g where not is_random group by 1),
+points as (select g, unnest(range(0, 301)) as i, lo, hi from o),
+dens as (
+  select p.g, p.i, c.is_random, sum(c.n * exp(-pow((p.lo - (p.hi - p.lo) / 2 + p.i * (2 * (p.hi - p.lo)) / 300 - c.x) / (case when c.is_random then o.dev * pow(o.random, -0.2) else dev.dev * pow(dev.total, -0.2) end), 2) / 2)) as v
+  from points p join c on c.g = p.g join o on o.g = p.g left join dev on dev.g = p.g where o.random > 1 and o.dev > 0 and (c.is_random or dev.cells > 1) group by 1, 2, 3),
+share as (select g, i, is_random, v / sum(v) over (partition by g, is_random) as v from dens),
+kls as (
+  select o.g, case when o.random > 1 and o.dev > 0 then case when o.hole or o.induced < 2 or dev.cells < 2 or dev.cells is null then 0.0 else k.kl end end as kl
+  from o left join dev on dev.g = o.g
+  left join (select a.g, sum(case when a.v > 0 then a.v * ln(a.v / b.v) else 0 end) as kl from share a join share b on a.g = b.g and a.i = b.i and a.is_random and not b.is_random group by 1) k on k.g = o.g)
+"""
+
+
+def _densities(spark, sf) -> DataFrame:
+    """A sum of discount and tax of every line item."""
     li = table(spark, sf, "lineitem")
-    return li.groupBy("l_linenumber", "l_suppkey").agg(F.avg("l_discount").alias("value")).select("l_linenumber", "value", (F.col("l_suppkey") % 4 > 0).alias("is_random"))
+    return li.select("l_linenumber", F.round(F.col("l_discount") + 2 * F.col("l_tax"), 2).alias("value"), (F.col("l_returnflag") != "A").alias("is_random"))
+
+
+_DENSITIES = "d as (select l_linenumber as g, round(l_discount + 2 * l_tax, 2) as value, l_returnflag <> 'A' as is_random from lineitem)"
 
 
-@query("p2_mean_tail")
+@query("p2_mean_tail", f"with {_DENSITIES}, {_CELLS.format(table='d')}, {_TAIL_OF} select g as l_linenumber, round(tail, 8) as tail from tails")
 def p2_mean_tail(spark, sf):
-    return nullmodel.mean_tail(_small_values(spark, sf), ["l_linenumber"])
+    return nullmodel.mean_tail(_densities(spark, sf), ["l_linenumber"]).withColumn("tail", F.round("tail", 8))
 
 
-@query("p4_divergence")
+@query("p4_divergence", f"with {_DENSITIES}, {_CELLS.format(table='d')}, {_KL_OF} select g as l_linenumber, round(kl, 8) as kl from kls")
 def p4_divergence(spark, sf):
-    return nullmodel.divergence(_small_values(spark, sf), ["l_linenumber"])
+    return nullmodel.divergence(_densities(spark, sf), ["l_linenumber"]).withColumn("kl", F.round("kl", 8))
 
 
 # ------------------------------------------------------------ evaluation grid

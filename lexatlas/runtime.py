@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -33,14 +34,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or a
-    temporary one that this function configures where the setting is absent
-    (single-machine tests)."""
+    """The folder all executors and the driver share: spark.checkpoint.dir, or, where that is
+    unset and everything runs in this process, a temporary one. A cluster without it is refused."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", sc.getConf().get("spark.checkpoint.dir", None))
     if not configured:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexatlas-shared-"))
             current = sc._jsc.sc().getCheckpointDir()
         configured = current.get()
@@ -50,8 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lexatlas-{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the application ends."""
+    top = f"{shared_dir(spark)}/lexatlas-{spark.sparkContext.applicationId}"
+    if top not in _SCRATCH:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _SCRATCH.add(top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -59,7 +68,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     and a lost executor costs a reread instead of a recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
+    if path := getattr(df, "_scratch", None):
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -69,9 +86,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
 
+def open_uri(uri: str, mode: str):
+    """A byte stream of a shared file (mode r or w) for Python workers; folders are made as needed."""
+    from pyarrow import fs
 
-def cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+    system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    if mode == "w":
+        system.create_dir(os.path.dirname(path), recursive=True)
+        return system.open_output_stream(path, compression=None)
+    return system.open_input_file(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
