@@ -37,4 +37,4 @@ def gather(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
 def _in_order(rows: DataFrame, key: str, columns: dict[str, Column], order: str) -> DataFrame:
     item = F.struct(F.col(order).alias("__o"), *(c.alias(n) for n, c in columns.items()))
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["__o"] < b["__o"], -1).when(a["__o"] > b["__o"], 1).otherwise(0)).alias("__l"))
-    return lists.select(key, *(F.transform("__l", lambda x, n=n: x[n]).alias(n) for n in columns))
+    return lists.select(key, *(F.col(f"__l.{n}").alias(n) for n in columns))

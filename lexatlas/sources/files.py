@@ -56,8 +56,9 @@ def write_senses_file(senses: DataFrame, stem: str, m: int, max_k: int, snapshot
     return path
 
 
-def type_path(folder: str, m: int, k: int, th: int, i: int) -> str:
-    return f"{folder}/m{m}/k{k}_th{th}/k{k}_th{th}_type{i}.json"
+def type_path(folder: str, m: int | None, k: int, th: int, i: int) -> str:
+    """Name of a type file; without ``m`` the folder is that of one m already."""
+    return folder + (f"/m{m}" if m is not None else "") + f"/k{k}_th{th}/k{k}_th{th}_type{i}.json"
 
 
 def write_type_files(types: DataFrame, folder: str) -> int:

@@ -22,12 +22,20 @@ def _tsv(spark: SparkSession, path: str, schema: str, **more) -> DataFrame:
     return spark.read.options(sep="\t", header=True, quote="", **more).schema(schema).csv(path)
 
 
-def read_mentions(spark: SparkSession, path: str) -> DataFrame:
-    """ne, tag, start, end, context, uri of linked mentions; an entity that was not found becomes its surface form."""
+#: Columns that order mentions as their files do.
+FILE_ORDER = ("file", "stretch", "line")
+
+
+def read_mentions(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """ne, tag, start, end, context, uri of linked mentions; an entity that was not found becomes its surface form.
+
+    ``numbered`` adds FILE_ORDER, which puts the rows in the order of the files' names and lines.
+    """
     raw = _tsv(spark, path, MENTION_COLUMNS)
     ne, tag = split_key("NE::tag")
     uri = strip("URI")
-    return raw.select(ne.alias("ne"), tag.alias("tag"), F.col("Start offset").alias("start"), F.col("End offset").alias("end"), F.col("Context").alias("context"), F.when(uri.contains(NO_ENTITY), ne).otherwise(uri).alias("uri"))
+    places = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()) if numbered else ()
+    return raw.select(*(c.alias(n) for c, n in zip(places, FILE_ORDER, strict=False)), ne.alias("ne"), tag.alias("tag"), F.col("Start offset").alias("start"), F.col("End offset").alias("end"), F.col("Context").alias("context"), F.when(uri.contains(NO_ENTITY), ne).otherwise(uri).alias("uri"))
 
 
 def write_mentions(mentions: DataFrame, path: str) -> None:
@@ -97,7 +105,7 @@ def write_evaluation(rows: DataFrame, path: str) -> None:
 def evaluation_json(rows: DataFrame, results: list[str], params: dict) -> DataFrame:
     """One JSON document per experiment: candidates, results and parameters."""
     given = F.struct(*(F.lit(v).alias(k) for k, v in params.items()))
-    return rows.select(F.to_json(F.struct(F.col("candidate_types"), F.struct(*results).alias("evaluation_results"), given.alias("evaluation_params"))).alias("value"))
+    return rows.select(F.to_json(F.struct(F.col("candidate_types"), F.struct(*results).alias("evaluation_results"), given.alias("evaluation_parameters"))).alias("value"))
 
 
 def labels_for(ids: DataFrame, labels: DataFrame, lang: str, fallback: str = "en") -> DataFrame:

@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lexatlas.plans import registry
+from lexatlas.plans import exchange
+
+registry = exchange.registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
