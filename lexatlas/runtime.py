@@ -26,7 +26,8 @@ def ship_package(spark: SparkSession) -> None:
     The zip travels through Spark's own file server, so it also works on
     clusters whose executors do not see the driver's disk.
     """
-    if int(spark.conf.get(_BATCH, "0").rstrip("b")) > BATCH_BYTES:
+    size = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))  # other forms were chosen by someone
+    if size and int(size[1]) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
