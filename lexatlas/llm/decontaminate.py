@@ -4,9 +4,9 @@ Every window of a training document is a query against the inverted index of
 test items (``2 L`` words every ``L`` words, L the longest item, so no item
 falls between windows). An item's score is its share of its own BM25 weight
 that the window holds. Windows whose terms cannot add up to the threshold are
-skipped; of the others, terms too weak to reach it together open no postings
-(non-essential lists), blocks of items are skipped by their block maxima, and
-only the items left are scored in full. Items above the threshold are verified:
+skipped, and so are those without a block of items whose maxima can; the others
+are searched by block-max WAND, which scores an item in full only where a pivot's
+bounds and its block's maxima reach the threshold. Items above the threshold are verified:
 the window must hold enough of the item's question and of its answer.
 
 The items are read in shards of bounded size, each held by every task; the
@@ -28,8 +28,9 @@ an empty result; further columns are ignored (``drop_contaminated`` keeps them).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import textkernel as tk
-from lexatlas.runtime import materialize, ship_package
+from lexatlas.runtime import lean, materialize, ship_package
 
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.6
@@ -45,7 +46,11 @@ MIN_OVERLAP = 0.8
 WIDTH = 5
 #: Items of one index shard.
 SHARD_ITEMS = 20_000
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
+#: Sums of block maxima held at a time.
+CELLS = 1 << 21
+#: Posting lists that a worker keeps as Python lists.
+MAX_OPENED = 20_000
 
 _INSIDE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 #: Lower-cases, and turns every byte outside words into a space.
@@ -54,9 +59,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
 
 def folded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = _FOLD[data]
-    start, end, row = tk.words(low, offsets)
-    return tk.span_hash(tk.rolling(low), start, end), row
+    return tk.word_hashes(data, offsets, _FOLD)
 
 
 def _text_words(text: str) -> np.ndarray:
@@ -96,6 +99,14 @@ class Statistics:
     df: np.ndarray
 
 
+@dataclass
+class Postings:
+    items: list[int]
+    impact: list[float]
+    maxima: dict[int, float]  # greatest impact by block
+    bound: float
+
+
 @dataclass
 class Index:
     ids: list
@@ -109,6 +120,15 @@ class Index:
     block_max: np.ndarray
     span: int  # words of the longest item
     checks: list[tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]]
+    opened: dict[int, Postings] = field(default_factory=dict)  # lists in use, per worker
+
+    def postings(self, t: int) -> Postings:
+        if t not in self.opened:
+            if len(self.opened) > MAX_OPENED:
+                self.opened.clear()
+            a, b, c, e = self.first[t], self.first[t + 1], self.block_first[t], self.block_first[t + 1]
+            self.opened[t] = Postings(self.items[a:b].tolist(), self.impact[a:b].tolist(), dict(zip(self.blocks[c:e].tolist(), self.block_max[c:e].tolist(), strict=True)), float(self.bound[t]))
+        return self.opened[t]
 
 
 def build_index(ids: list, texts: list[str | None], k1: float = K1, b: float = B, whole: Statistics | None = None) -> Index:
@@ -156,54 +176,86 @@ def _expand(first: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[t], size)
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, weights=values, minlength=len(u))
+def wand(index: Index, terms: list[int], minimum: float) -> list[tuple[int, float]]:
+    """(item, score) of all items whose score for the distinct ``terms`` is at least ``minimum``, by block-max WAND.
+
+    Cursors stand on the terms' posting lists in the order of their items. The
+    pivot is the first item that the bounds of the lists up to it can lift to the
+    minimum; if the maxima of its block cannot, the cursors leave the block.
+    """
+    least = minimum - 1e-9
+    cursors = [[p, 0] for p in map(index.postings, terms) if p.items]
+    found = []
+    while cursors:
+        order = sorted(cursors, key=lambda c: c[0].items[c[1]])
+        upper, pivot = 0.0, -1
+        for n, (p, _) in enumerate(order):
+            upper += p.bound
+            if upper >= least:
+                pivot = n
+                break
+        if pivot < 0:
+            break
+        item = order[pivot][0].items[order[pivot][1]]
+        while pivot + 1 < len(order) and order[pivot + 1][0].items[order[pivot + 1][1]] == item:
+            pivot += 1
+        block = item // BLOCK_ITEMS
+        if sum(p.maxima.get(block, 0.0) for p, _ in order[: pivot + 1]) < least:
+            to = (block + 1) * BLOCK_ITEMS
+            if pivot + 1 < len(order):
+                to = min(to, order[pivot + 1][0].items[order[pivot + 1][1]])
+        elif order[0][0].items[order[0][1]] == item:
+            score = sum(p.impact[at] for p, at in order[: pivot + 1])
+            if score >= least:
+                found.append((item, score))
+            to = item + 1
+        else:
+            to = item
+        for c in order[: pivot + 1]:
+            c[1] = bisect_left(c[0].items, to, c[1])
+        cursors = [c for c in cursors if c[1] < len(c[0].items)]
+    return found
+
+
+def _hopeful(index: Index, window: np.ndarray, term: np.ndarray, least: float) -> np.ndarray:
+    """Whether each of the pairs (window ascending) belongs to a window with a block whose maxima add up to ``least``."""
+    blocks = int(index.items.max()) // BLOCK_ITEMS + 1
+    edge = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1], [True])))
+    number = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    size = np.concatenate(([0], np.cumsum(index.block_first[term + 1] - index.block_first[term])))[edge]  # entries before each window
+    out = np.zeros(len(window), bool)
+    lo = 0
+    while lo < len(edge) - 1:  # as many windows as fit in CELLS sums and entries
+        hi = min(lo + max(1, CELLS // blocks), len(edge) - 1)
+        hi = max(lo + 1, min(hi, int(np.searchsorted(size, size[lo] + CELLS, "right")) - 1))
+        own = slice(edge[lo], edge[hi])
+        owner, at = _expand(index.block_first, term[own])
+        cells = (number[own][owner] - lo) * blocks + index.blocks[at]
+        upper = np.bincount(cells, index.block_max[at], (hi - lo) * blocks).reshape(hi - lo, blocks)
+        out[own] = (upper.max(1) >= least)[number[own] - lo]
+        lo = hi
+    return out
 
 
 def candidates(index: Index, window: np.ndarray, term: np.ndarray, minimum: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, item, score) of all pairs with a score of at least ``minimum``.
 
-    ``window``, ``term``: distinct pairs, in any order.
+    ``window``, ``term``: distinct pairs, in any order. Block maxima are added up for
+    many windows at once; those without a block that reaches the minimum are done, ``wand`` searches the others.
     """
-    eps = 1e-9
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     if not len(window):
         return none
-    weight = index.bound[term]
-    order = np.lexsort((term, weight, window))
-    window, term, weight = window[order], term[order], weight[order]
-    run = np.concatenate(([True], window[1:] != window[:-1]))
-    c = np.cumsum(weight)
-    base = np.repeat((c - weight)[run], np.diff(np.append(np.flatnonzero(run), len(window))))
-    essential = c - base >= minimum - eps  # the weaker terms of the window cannot reach the minimum by themselves
-    if not essential.any():
-        return none
-    weak = np.bincount(window[~essential], weights=weight[~essential], minlength=window[-1] + 1)
-    ew, et = window[essential], term[essential]
-    blocks = int(index.items.max()) // BLOCK_ITEMS + 1
-    owner, at = _expand(index.block_first, et)
-    key, upper = _sums(ew[owner] * blocks + index.blocks[at], index.block_max[at])
-    key = key[upper + weak[key // blocks] >= minimum - eps]
-    if not len(key):
-        return none
-    hot = np.isin(window, key // blocks)
-    window, term, essential = window[hot], term[hot], essential[hot]
-    owner, at = _expand(index.first, term[essential])
-    w, i = window[essential][owner], index.items[at]
-    inside = np.isin(w * blocks + i // BLOCK_ITEMS, key)
-    n = int(index.items.max()) + 1
-    pair, score = _sums((w * n + i)[inside], index.impact[at][inside])
-    pair = pair[score + weak[pair // n] >= minimum - eps]
-    if not len(pair):
+    order = np.lexsort((term, window))
+    window, term = window[order], term[order]
+    hot = _hopeful(index, window, term, minimum - 1e-9)
+    window, term = window[hot], term[hot]
+    edges = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1], [True]))) if len(window) else np.zeros(1, np.int64)
+    found = [(int(window[a]), i, s) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for i, s in wand(index, term[a:b].tolist(), minimum)]
+    if not found:
         return none
-    hot = np.isin(window, pair // n)
-    owner, at = _expand(index.first, term[hot])
-    full = window[hot][owner] * n + index.items[at]
-    wanted = np.isin(full, pair)
-    pair, score = _sums(full[wanted], index.impact[at][wanted])
-    ok = score >= minimum - eps
-    return pair[ok] // n, pair[ok] % n, score[ok]
+    w, i, s = zip(*found, strict=True)
+    return np.array(w), np.array(i), np.array(s)
 
 
 def _overlap(check: tuple[int, np.ndarray], h: np.ndarray) -> float:
@@ -265,7 +317,7 @@ def _terms(items: DataFrame) -> DataFrame:
                 terms = np.unique(words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([*terms.tolist(), None], pa.int64()), pa.array([*[1] * len(terms), len(words)], pa.int64())], names=["term", "n"])
 
-    return items.select("text").mapInArrow(run, "term long, n long")
+    return items.select("text").mapInArrow(lean(run), "term long, n long")
 
 
 def shards(items: DataFrame, size: int = SHARD_ITEMS) -> Iterator[Index]:
@@ -305,7 +357,7 @@ def find(docs: DataFrame, items: DataFrame, minimum: float = MIN_SCORE, overlap:
                             names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                         )
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
+        part = docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {doc_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
@@ -327,7 +379,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, minimum: float = MIN_SC
                     keep[[lo + r for r, _ in hits(index, data[a:b], offsets[lo : hi + 1] - a, minimum, overlap)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, kinds)
+        out = out.mapInArrow(lean(run), kinds)
     return out.toDF(*names)
 
 

@@ -111,12 +111,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, row
 
 
-_WEIGHTS = mix(np.arange(11, 17, dtype=np.uint64) * U64(_GAMMA)) | U64(1)
+def stretches(data: np.ndarray, limit: int = 2 * CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes that end after a white space (a longer word makes a longer one)."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + limit, len(data))
+        if hi < len(data):
+            gaps = np.flatnonzero(SPACE[data[lo:hi]])
+            while not len(gaps) and hi < len(data):
+                lo_, hi = hi, min(hi + limit, len(data))
+                gaps = np.flatnonzero(SPACE[data[lo_:hi]]) + lo_ - lo
+            hi = lo + int(gaps[-1]) + 1 if len(gaps) else hi
+        yield lo, hi
+        lo = hi
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word after ``fold`` (A-Z are lower-cased). A long text is taken a stretch at a time."""
+    low = fold[data]
+    if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:
+        h = np.concatenate([_hashed(low[lo:hi], np.array([0, hi - lo]))[0] for lo, hi in stretches(low)])
+        return h, np.zeros(len(h), np.int64)
+    return _hashed(low, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each A-Z-lower-cased word."""
-    low = LOWER[data]
+def _hashed(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, row = words(low, offsets)
     return span_hash(rolling(low), start, end), row
 
