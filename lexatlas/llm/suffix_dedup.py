@@ -6,8 +6,8 @@ anchors at equal offsets. Anchors whose hash occurs once cannot be in a
 repeat and go at once. For each of the others the bytes around it are brought
 together by hash: the suffixes to its right, and the reversed prefixes to its
 left, are put in suffix order with their common prefix lengths by deep-shallow
-sorting (multikey quicksort on 8-byte characters to a shallow depth, then blind
-tries for the groups that stay equal). Two occurrences share the string at
+sorting (multikey quicksort on 8-byte characters to a shallow depth, all open runs
+at once, then blind tries for the groups that stay equal). Two occurrences share the string at
 offset o exactly when their common left part reaches o and their common right
 part reaches length - o; in suffix order that is a numbering of runs, so the
 earliest occurrence of every string is found offset by offset.
@@ -15,8 +15,9 @@ earliest occurrence of every string is found offset by offset.
 Documents whose whole text an earlier one has are known from text hashes and
 take no part further. A task first settles what it can among its own documents and passes on only
 strings it has not seen, so a passage in a third of all rows costs one row per
-batch. Anchors in more than HOT places are dealt by the bytes that all strings
-of a few offsets have in common, so no group grows with the table.
+batch. Anchors in more than HOT places, and those that a sample of the documents
+shows to be frequent, are dealt by the bytes that all strings of a few offsets
+have in common, so no group grows with the table.
 
 Defined results: a null text is empty; strings shorter than ``length`` are never
 removed; of rows that share a doc_id the order is that of a text hash, and
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import textkernel as tk
-from lexatlas.runtime import materialize, ship_package
+from lexatlas.runtime import discard, lean, materialize, ship_package
 
 LENGTH = 100
 GRAM = 24
@@ -44,6 +45,8 @@ GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 SHALLOW = 24
 HOT = 4096
+#: One of so many documents is looked at for hashes in many places; they are at most MAX_HOT, seen at least OFTEN, in SALTS parts.
+SAMPLE, MAX_HOT, OFTEN, SALTS = 64, 20_000, 16, 256
 #: Offsets that a hot anchor's strings share a partition by.
 STRIDE = 12
 #: Occurrences sorted at a time.
@@ -109,31 +112,51 @@ class BlindTrie:
             stack.append((children[0], lcp))
 
 
+def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): rows of ``words`` by group, then word by word; first marks the beginnings of runs of equal rows.
+
+    Every open run is partitioned around the median of three of its rows at once:
+    smaller and larger rows stay at their word, equal ones go on to the next.
+    """
+    n, depth = words.shape
+    order = np.argsort(group, kind="stable")
+    first = np.concatenate(([True], group[order][1:] != group[order][:-1]))[:n]
+    live, word, start = np.arange(n), np.zeros(n, np.int64), first.copy()  # places of open runs, the word they are compared by, their beginnings
+    while len(live):
+        size = np.diff(np.append(np.flatnonzero(start), len(live)))
+        open_ = np.repeat(size > 1, size) & (word < depth)
+        live, word, start = live[open_], word[open_], start[open_]
+        if not len(live):
+            break
+        head = np.flatnonzero(start)
+        size = np.diff(np.append(head, len(live)))
+        key = words[order[live], word]
+        pivot = np.repeat(np.sort(np.stack([key[head], key[head + size // 2], key[head + size - 1]]), 0)[1], size)
+        part = 2 * (key > pivot) + (key == pivot) + 3 * np.repeat(np.arange(len(head)), size)
+        by = np.argsort(part.astype(np.uint16) if 3 * len(head) < 1 << 16 else part, kind="stable")  # 16 bits are sorted by radix
+        order[live], part = order[live][by], part[by]
+        word += part % 3 == 1
+        start = np.concatenate(([True], part[1:] != part[:-1]))
+        first[live[start]] = True
+    return order, first
+
+
 def suffix_order(group: np.ndarray, strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): strings sorted within ascending groups; lcp[i] is the common prefix
     of the i-th and the one before it, -1 where a group begins."""
     n = len(strings)
     words = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), ">u8").reshape(n, shallow // 8).astype(np.uint64)
-    order = np.argsort(group, kind="stable")
-    seg = np.concatenate(([0], np.cumsum(group[order][1:] != group[order][:-1])))
-    lcp = np.where(np.concatenate(([True], seg[1:] != seg[:-1])), -1, shallow)
-    for w in range(words.shape[1]):  # open segments are sorted by their next 8 bytes, equal ones go deeper
-        key = words[order, w]
-        inner = np.lexsort((key, seg))
-        order, key = order[inner], key[inner]
-        differ = np.concatenate(([False], key[1:] != key[:-1]))
-        same_seg = np.concatenate(([False], seg[1:] == seg[:-1]))
-        new = differ & same_seg
-        if new.any():
-            at = np.flatnonzero(new)
-            x = key[at] ^ key[at - 1]
-            lead = np.zeros(len(at), np.int64)
-            for b in range(8):
-                lead += (x >> tk.U64(8 * (7 - b)) == 0) & (lead == b)
-            lcp[at] = 8 * w + lead
-        seg = np.cumsum(new | ~same_seg)
+    order, first = multikey_quicksort(words, group)
+    lcp = np.full(n, shallow)
+    for w in range(words.shape[1] - 1, -1, -1):
+        x = words[order[1:], w] ^ words[order[:-1], w]
+        lead = np.zeros(n - 1, np.int64)
+        for b in range(8):
+            lead += (x >> tk.U64(8 * (7 - b)) == 0) & (lead == b)
+        lcp[1:] = np.where(x != 0, 8 * w + lead, lcp[1:])
+    lcp[np.concatenate(([True], group[order][1:] != group[order][:-1]))] = -1
     size = np.array([len(s) for s in strings])[order]
-    begin = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+    begin = np.flatnonzero(first)
     end = np.append(begin[1:], n)
     for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
         alike: dict[bytes, list[int]] = {}
@@ -233,24 +256,55 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
 
 
-def anchor_rows(rows: DataFrame) -> DataFrame:
-    """(hash, k, place) of named rows: place packs position, lowest and highest offset."""
+def long_anchors(data: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``anchors`` of a text of any length, the strings that begin in ``limit`` bytes at a time (an anchor may come twice, with other offsets)."""
+    for lo in range(0, len(data) - LENGTH + 1, limit):
+        h, p, low, high = anchors(data[lo : min(lo + limit + LENGTH - 1, len(data))])
+        yield h, p + lo, low, high
+
+
+def anchor_rows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(hash, salt, k, place) of named rows: place packs position, lowest and highest offset.
+
+    ``hot``: sorted hashes known to be in many places; a salt above 0 spreads them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            h, k, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            salt = np.zeros(len(h), np.int64)
+            if len(hot):
+                known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                salt[known] = 1 + k[known] % SALTS
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(k), pa.array(place)], names=["hash", "salt", "k", "place"])
+
         for batch in batches:
             offsets, data = tk.flat(batch.column(1))
             held, n = [], 0
             for r, k in enumerate(batch.column(0).to_pylist()):
-                h, p, low, high = anchors(data[offsets[r] : offsets[r + 1]])
-                held.append((h.view(np.int64), np.full(len(h), k), p << 14 | low << 7 | high))
-                n += len(h)
-                if n > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["hash", "k", "place"])
-                    held, n = [], 0
+                for h, p, low, high in long_anchors(data[offsets[r] : offsets[r + 1]]):
+                    held.append((h.view(np.int64), np.full(len(h), k), p << 14 | low << 7 | high))
+                    n += len(h)
+                    if n > 1 << 17:
+                        yield out(held)
+                        held, n = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["hash", "k", "place"])
+                yield out(held)
+
+    return rows.where(F.col("n") >= LENGTH).select("k", "text").mapInArrow(lean(run), "hash long, salt long, k long, place long")
 
-    return rows.where(F.col("n") >= LENGTH).select("k", "text").mapInArrow(run, "hash long, k long, place long")
+
+def hot_hashes(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes with a share of 1 / MAX_HOT or more of the anchors of every SAMPLE-th document, and OFTEN of them at least.
+
+    So there are at most MAX_HOT. They only spread work: such anchors are in
+    several places, and any that are missed here are counted like all others.
+    """
+    counts = materialize(anchor_rows(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), np.zeros(0, np.int64)).groupBy("hash").agg(F.countDistinct("k", "place").alias("c")), "anchor-sample")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    found = counts.where(F.col("c") >= max(OFTEN, -(-total // MAX_HOT))).select("hash").toPandas()  # at most MAX_HOT
+    discard(counts)
+    return np.sort(found["hash"].to_numpy(np.int64))
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
@@ -264,7 +318,11 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x[1]), pa.array(x[0]), pa.array(x[2]), pa.array(hot)], names=["k", "hash", "place", "hot"])
 
         for batch in batches:
-            x = np.concatenate((held, np.stack([np.asarray(c) for c in batch.columns])), 1)
+            x = np.stack([np.asarray(batch.column(i)) for i in (0, 2, 3)])
+            salted = np.asarray(batch.column(1)) > 0
+            if salted.any():
+                yield out(x[:, salted], np.ones(salted.sum(), bool))
+            x = np.concatenate((held, x[:, ~salted]), 1)
             new = np.ones(x.shape[1], bool)
             new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
             x = x[:, new]
@@ -283,7 +341,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         elif held.shape[1] and held[0, 0] == hot_hash:
             yield out(held, np.ones(held.shape[1], bool))
 
-    return rows.repartition("hash").sortWithinPartitions("hash", "k", "place").mapInArrow(run, "k long, hash long, place long, hot boolean")
+    return rows.repartition("hash", "salt").sortWithinPartitions("hash", "salt", "k", "place").mapInArrow(lean(run), "k long, hash long, place long, hot boolean")
 
 
 # ------------------------------------------------------------ settling
@@ -389,9 +447,9 @@ def first_pass(rows: DataFrame, lists: DataFrame) -> DataFrame:
         if out := settled():
             yield _batch(key, out)
 
-    texts = rows.select("doc_id", "text", "k", "t").mapInArrow(packed, f"doc_id {kind}, k long, t long, z binary")
+    texts = rows.select("doc_id", "text", "k", "t").mapInArrow(lean(packed), f"doc_id {kind}, k long, t long, z binary")
     joined = texts.join(lists, "k").select("doc_id", "k", "t", "z", "places")
-    return materialize(joined.mapInArrow(run, f"doc_id {kind}, {_ROW_SQL}"), "first-pass")
+    return materialize(joined.mapInArrow(lean(run), f"doc_id {kind}, {_ROW_SQL}"), "first-pass")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -438,7 +496,7 @@ def second_pass(opened: DataFrame) -> DataFrame:
 
     rows = opened.select(F.col("a").alias("group"), "doc_id", F.col("b").alias("t"), "k", F.col("c").alias("p"), F.col("d").alias("low"), F.col("e").alias("high"), "left", "right")
     order = ["group", F.col("doc_id").asc_nulls_last(), "t", "k", "p"]
-    return rows.repartition("group").sortWithinPartitions(*order).mapInArrow(run, "k long, a long, b long")
+    return rows.repartition("group").sortWithinPartitions(*order).mapInArrow(lean(run), "k long, a long, b long")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -460,7 +518,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = named(docs)
     copies = small(later_copies(rows))
     active = rows.join(copies, "k", "left_anti")
-    lists = repeated_anchors(anchor_rows(active)).groupBy("k").agg(F.collect_list(F.struct("place", "hash", "hot")).alias("places"))
+    lists = repeated_anchors(anchor_rows(active, hot_hashes(active))).groupBy("k").agg(F.collect_list(F.struct("place", "hash", "hot")).alias("places"))
     lists = materialize(lists, "repeated-anchors")
     held = small(lists.select("k"))
     found = first_pass(active.join(held, "k", "left_semi"), lists)
@@ -488,7 +546,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, span), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept_sha256", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    changed = texts.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<start: bigint, end: bigint>>, kept_sha256 string, kept binary")
+    changed = texts.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, removed array<struct<start: bigint, end: bigint>>, kept_sha256 string, kept binary")
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     null = F.lit(None).cast("binary")
     same = active.join(held, "k", "left_anti").select("doc_id", "n", none.alias("removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"), null.alias("kept"))
@@ -503,3 +561,19 @@ def op5(spark, sf_dir: str) -> DataFrame:
     found = deduplicate(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP5_SQL = """
+with d as (select doc_id, coalesce(text, '') as text, count(*) as copies from documents group by 1, 2),
+o as (select *, row_number() over (order by doc_id nulls last, text) as k, hex(encode(text)) as h from d),
+p as (select k, h, unnest(range(0, length(h) // 2 - 99)) as i from o),
+u as materialized (select k, i, md5_number(substring(h, 2 * i + 1, 200)) as m, k * 10000000000 + i as place from p),
+e as (select min(place) as place from u group by m),
+s as (select k, i from u anti join e on u.place = e.place),
+g as (select k, i, sum(apart::int) over (partition by k order by i) as g from (select k, i, coalesce(i > lag(i) over (partition by k order by i) + 100, true) as apart from s)),
+r as (select k, min(i) as a, max(i) + 100 as b from g group by k, g),
+x as (select k, a, b, lag(b, 1, 0::bigint) over (partition by k order by a) as z from r),
+kept as (select k, sum(b - a) as removed, count(*) as spans, max(b) as last, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' order by a) as head from x join o using (k) group by 1),
+f as (select o.*, coalesce(removed, 0) as removed, coalesce(spans, 0) as spans, coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1) as rest from o left join kept using (k))
+select doc_id, (length(h) // 2)::bigint as n_bytes, removed::bigint as n_removed, spans::bigint as n_spans, sha256(unhex(rest)) as kept_sha256 from f, unnest(range(0, copies)) as y(c)
+"""
