@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.runtime import materialize
+from lexatlas.runtime import discard, materialize
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        e = materialize(_small(_large(e)), "edges")
+        old, e = e, materialize(_small(_large(e)), "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -17,7 +17,8 @@ between representatives of what the blocks found, then between everything that
 is still apart from the family's largest component and all blocks. So a group
 of any size is never in one task, and pairs of one group are never listed.
 
-Shingles are 64-bit hashes, classes 64-bit hashes of whole sets.
+Shingles are 64-bit hashes, classes 64-bit hashes of whole sets. A text of any
+length is shingled in one piece; it takes about 30 times its bytes while that lasts.
 
 Defined results: null and empty texts have empty sets, link with nothing and
 are their own component; texts shorter than a shingle are one shingle; rows
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.llm import textkernel as tk
 from lexatlas.llm.components import components
-from lexatlas.runtime import materialize, ship_package
+from lexatlas.runtime import discard, lean, materialize, ship_package
 
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
@@ -99,9 +100,10 @@ def _sets(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, n, cls, bits; and rows (key, seen) of shingles frequent in a batch."""
+    """For each row: doc_id, k (hash of id and text), n, cls, bits; and rows (key, seen) of shingles frequent in a batch."""
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +123,11 @@ def describe(docs: DataFrame) -> DataFrame:
             pad = lambda x, k: pa.concat_arrays([x, pa.nulls(k, x.type)])
             before = lambda x: pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(x, pa.int64())])
             yield pa.RecordBatch.from_arrays(
-                [pad(batch.column(0), len(keys)), pad(pa.array(n, pa.int64()), len(keys)), pad(pa.array(cls, pa.int64()), len(keys)), pad(pa.array(bits, pa.binary()), len(keys)), before(keys), before(seen)],
-                names=["doc_id", "n", "cls", "bits", "key", "seen"],
+                [pad(batch.column(0), len(keys)), pad(batch.column(2), len(keys)), pad(pa.array(n, pa.int64()), len(keys)), pad(pa.array(cls, pa.int64()), len(keys)), pad(pa.array(bits, pa.binary()), len(keys)), before(keys), before(seen)],
+                names=["doc_id", "k", "n", "cls", "bits", "key", "seen"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, bits binary, key long, seen long")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, k long, n long, cls long, bits binary, key long, seen long")
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ def keys_of(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     hi = lo + (1 << 17)
                     yield pa.RecordBatch.from_arrays([pa.array(k[lo:hi].view(np.int64)), pa.array(c[lo:hi]), pa.array(n[lo:hi] << 31 | p[lo:hi])], names=["key", "cls", "np"])
 
-    return docs.select("text").mapInArrow(run, "key long, cls long, np long")
+    return docs.select("text").mapInArrow(lean(run), "key long, cls long, np long")
 
 
 def _bucket_links(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +220,7 @@ def bucket_links(keys: DataFrame, hold: int = 1 << 17) -> DataFrame:
         if held.shape[1]:
             yield out(held)
 
-    return keys.repartition("key").sortWithinPartitions("key", "np", "cls").mapInArrow(run, "a long, b long, test boolean")
+    return keys.repartition("key").sortWithinPartitions("key", "np", "cls").mapInArrow(lean(run), "a long, b long, test boolean")
 
 
 class Forest:
@@ -334,14 +336,12 @@ def tree_links(sets: list[np.ndarray], label: np.ndarray | None = None, fan: int
 
 
 def pack(s: np.ndarray) -> bytes:
-    """A sorted set as the leading 6 bytes of each member; 48 bits tell the members of a few sets apart."""
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """A sorted set, whole."""
+    return s.astype("<u8").tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(b, "<u8")
 
 
 def _grouped(rows: DataFrame, by: list[str], labelled: bool = False, keep: bool = False) -> DataFrame:
@@ -387,7 +387,7 @@ def _grouped(rows: DataFrame, by: list[str], labelled: bool = False, keep: bool
 
     cols = [*by, "cls", "tokens", *(["label"] if labelled else [])]
     schema = f"{by[0]} long, cls long, root long" + (", chosen boolean, tokens binary" if keep else "")
-    return rows.select(*cols).repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(run, schema)
+    return rows.select(*cols).repartition(*by).sortWithinPartitions(*by, "cls").mapInArrow(lean(run), schema)
 
 
 def _filter(cls: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -424,7 +424,7 @@ def sets_of(docs: DataFrame, cls: DataFrame) -> DataFrame:
                     tokens.append(pack(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["cls", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "cls long, tokens binary")
+    return docs.select("text").mapInArrow(lean(run), "cls long, tokens binary")
 
 
 def _maybe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -437,7 +437,7 @@ def _maybe(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(run, "u long, v long")
+    return joined.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(lean(run), "u long, v long")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -489,45 +489,80 @@ def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(moved.select("cls", F.coalesce("x", "root").alias("root")), "labels")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def frequent_keys(described: DataFrame) -> np.ndarray:
+    """The sorted shingles seen in most places, at most MAX_FREQUENT: those seen at least so often that no more are left.
+
+    Only the numbers of shingles by how often they were seen, and the chosen ones, reach the driver.
+    """
+    seen = materialize(described.where("key is not null").groupBy("key").agg(F.sum("seen").alias("seen")), "frequent")
+    step = F.when(F.col("seen") < 256, F.col("seen")).otherwise(F.lit(256) * F.length(F.bin("seen")))  # at most 256 + 16,384 levels, in the order of seen
+    levels = seen.groupBy(step.alias("level")).agg(F.count("*").alias("keys")).orderBy(F.desc("level")).collect()
+    total, least = 0, None
+    for r in levels:
+        total += r.keys
+        if total > MAX_FREQUENT:
+            break
+        least = r.level
+    keys = np.zeros(0, np.int64)
+    if least is not None:
+        keys = seen.where(step >= least).select("key").toPandas()["key"].to_numpy(np.int64)  # at most MAX_FREQUENT
+    discard(seen)
+    return np.sort(keys.view(np.uint64))
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, k, n, cls, component_id, lead (whether its class is the one that stays for its component) of every row; written."""
     ship_package(docs.sparkSession)
     described = materialize(describe(docs), "sets")
-    often = described.where("key is not null").groupBy("key").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "key").limit(MAX_FREQUENT).select("key").toPandas()  # at most MAX_FREQUENT
-    frequent = np.sort(often["key"].to_numpy(np.int64).view(np.uint64))
-    rows = described.where("key is null").select("doc_id", "n", "cls")
+    frequent = frequent_keys(described)
+    rows = described.where("key is null").select("doc_id", "k", "n", "cls")
     classes = materialize(described.where("key is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
     roots = materialize(link_classes(docs, classes, frequent), "roots")
-    lead = roots.join(classes.select("cls", "first_id"), "cls").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(lead, "root").select("cls", "component_id")
-    own = classes.select("cls", "first_id").join(named, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
-    full = rows.where("n > 0").join(own, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "cls")
+    lead = roots.join(classes.select("cls", "first_id"), "cls").groupBy("root").agg(F.min(order).alias("first"))
+    named = roots.join(lead, "root").select("cls", F.col("first.first_id").alias("component_id"), (F.col("cls") == F.col("first.cls")).alias("lead"))
+    own = classes.select("cls", "first_id").join(named, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("lead", F.lit(True)).alias("lead"))
+    full = rows.where("n > 0").join(own, "cls").select("doc_id", "k", "n", "cls", "component_id", "lead")
+    out = full.unionByName(rows.where("n = 0").select("doc_id", "k", "n", "cls", F.col("doc_id").alias("component_id"), F.lit(True).alias("lead")))
+    return materialize(out, "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return classified(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every component, columns unchanged.
+    """One row of every component, columns unchanged: the smallest doc_id (null last), of rows that share it one.
 
-    Rows that repeat that id stay once. Rows without an id and documents without words all stay.
+    Rows are told apart by id and text, so another text under the same id stays
+    or goes by its own component. Documents without words all stay.
     """
-    found = materialize(near_duplicates(docs), "components")
-    gone = found.where("doc_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct()
-    kept = without(docs, gone)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    return kept
+    found = classified(docs)
+    own = found.where("n > 0").withColumn("stays", F.col("lead") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = own.where("stays").groupBy("doc_id", "cls").agg(F.min("k").alias("first"), F.count("*").alias("rows"), F.max("k").alias("last"))
+    several = materialize(kept.where("rows > 1"), "several")  # texts of one set under one id
+    gone = own.where("not stays").select("doc_id", "k")
+    other = own.where("stays").join(several.select(F.col("doc_id").alias("i"), F.col("cls").alias("c"), "first"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("cls") == F.col("c")))
+    gone = materialize(gone.unionByName(other.where("k <> first").select("doc_id", "k")).distinct(), "gone")
+    out = without(docs, gone)
+    if several.head(1):  # rows that repeat both id and text
+        repeated = materialize(other.where("k = first").groupBy("doc_id", "k").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "k"), "repeated")
+        again = docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(repeated.select(F.col("k").alias("__k")).distinct(), "__k", "left_semi").drop("__k").dropDuplicates(["doc_id", "text"])
+        out = without(out, repeated).unionByName(again)
+    return out
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``gone``.
+    """The rows of ``docs`` whose (doc_id, hash of id and text) is not in ``gone`` (doc_id, k).
 
     A bit array of fixed size tells most rows that they stay; only the others are shuffled for the exact anti-join.
     """
     names = docs.columns
-    table = _filter(gone.select(F.xxhash64("doc_id").alias("cls")))
+    table = _filter(gone.select(F.col("k").alias("cls")))
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    key = f"c{names.index('doc_id')}"
+    keys = [f"c{names.index(c)}" for c in ("doc_id", "text")]
 
     def part(inside: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,12 +570,32 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 hit = np.array([_in_filter(table, h) for h in batch.column(len(names)).to_pylist()], bool)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit == inside)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
-        return inner.withColumn("h", F.xxhash64(key)).mapInArrow(run, kinds).toDF(*names)
+        return inner.withColumn("h", F.xxhash64(*keys)).mapInArrow(lean(run), kinds).toDF(*names)
 
-    return part(False).unionByName(part(True).join(gone, "doc_id", "left_anti").select(*names))
+    maybe = part(True).toDF(*(f"c{i}" for i in range(len(names)))).withColumn("h", F.xxhash64(*keys))
+    other = gone.select(F.col("doc_id").alias("gone_id"), F.col("k").alias("gone_k"))
+    stay = maybe.join(other, (F.col("h") == F.col("gone_k")) & F.col(keys[0]).eqNullSafe(F.col("gone_id")), "left_anti").drop("h").toDF(*names)
+    return part(False).unionByName(stay)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     from lexatlas.runtime import table
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+with recursive d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+t as (
+  select row, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) end as s from d),
+c as (select s, min(row) as class, any_value(len(s)) as n from t where len(s) > 0 group by s),
+e as (select class, n, md5_number(unnest(s)) as h from c),
+p as (select a.class as a, b.class as b, count(*) as shared, any_value(a.n) + any_value(b.n) as n from e a join e b on a.h = b.h and a.class < b.class and 4 * b.n <= 5 * a.n and 4 * a.n <= 5 * b.n group by 1, 2),
+l as (select a, b from p where 100 * shared >= 80 * (n - shared) union all select b, a from p where 100 * shared >= 80 * (n - shared)),
+r(a, b) as (select class, class from c union select r.a, l.b from r join l on l.a = r.b),
+m as (select t.row, t.doc_id, len(t.s) as n, c.class from t left join c on c.s = t.s),
+i as (select r.a as class, min(m.doc_id) as component_id from r join m on m.class = r.b group by 1)
+select doc_id, n::bigint as n_shingles, case when n = 0 then doc_id else component_id end as component_id from m left join i on i.class = m.class
+"""
