@@ -30,28 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.runtime import materialize, remove, scratch, ship_package
+from lexatlas.runtime import lean, materialize, open_uri, remove, scratch, ship_package
 
 MIN_DEDUP_BYTES = 100
 #: A task begins a further archive after so many payload bytes.
 ARCHIVE_BYTES = 1 << 30
 _READ = 1 << 20
+#: Payload bytes that leave a reader together.
+_HELD = 4 << 20
 _GZIP = 16 + zlib.MAX_WBITS
 _MANIFEST = "path string, records long"
 
 
-def _open(uri: str, mode: str):
-    import os
-
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-    if mode == "w":
-        system.create_dir(os.path.dirname(path), recursive=True)
-        return system.open_output_stream(path, compression=None)
-    return system.open_input_file(path)
-
-
 def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC record; a revisit carries the response head without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -164,7 +154,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 page_id, first = page_id.as_py(), first.as_py()
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                    out = [path, _open(path, "w"), zlib.compressobj(level, zlib.DEFLATED, _GZIP), 0, 0]
+                    out = [path, open_uri(path, "w"), zlib.compressobj(level, zlib.DEFLATED, _GZIP), 0, 0]
                 revisit = first is not None and page_id != first
                 data = record_bytes(page_id, url.as_py(), payload.as_py(), digest.as_py(), size.as_py(), first, revisit)
                 out[1].write(out[2].compress(data))
@@ -176,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
 
-    return materialize(ready.mapInArrow(run, _MANIFEST), "warc-manifest")
+    return materialize(ready.mapInArrow(lean(run), _MANIFEST), "warc-manifest")
 
 
 def normalise(manifest: DataFrame, folder: str, level: int = 5) -> DataFrame:
@@ -188,7 +178,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 5) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 target = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                 n = offset = 0
-                with _open(path, "r") as source, _open(target, "w") as out, _open(target + ".idx", "w") as index:
+                with open_uri(path, "r") as source, open_uri(target, "w") as out, open_uri(target + ".idx", "w") as index:
                     for fields, head, block in records(source):
                         z = zlib.compressobj(level, zlib.DEFLATED, _GZIP)
                         member = z.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
@@ -199,7 +189,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], names=["path", "records"])
 
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return materialize(manifest.repartition(parts, "path").mapInArrow(run, _MANIFEST), "warc-manifest")
+    return materialize(manifest.repartition(parts, "path").mapInArrow(lean(run), _MANIFEST), "warc-manifest")
 
 
 def index_of(manifest: DataFrame) -> DataFrame:
@@ -209,30 +199,35 @@ def index_of(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with _open(path + ".idx", "r") as f:
+                with open_uri(path + ".idx", "r") as f:
                     rows = [x.split(" ", 2) for x in f.read().decode().splitlines()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(rows), pa.string()), pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
                     names=["path", "offset", "length", "record_id"],
                 )
 
-    return manifest.select("path").mapInArrow(run, "path string, offset long, length long, record_id string")
+    return manifest.select("path").mapInArrow(lean(run), "path string, offset long, length long, record_id string")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of every record,
-    each fetched by its offset."""
+def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits, and without ``payloads``)
+    of every record, each fetched by its offset and checked against its digest."""
     index = index_of(manifest)
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, at = None, None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for path, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if path != at:
                     if source:
                         source.close()
-                    source, at = _open(path, "r"), path
+                    source, at = open_uri(path, "r"), path
                 source.seek(offset)
                 data = zlib.decompress(source.read(length), _GZIP)
                 head, _, rest = data.partition(b"\r\n\r\n")
@@ -245,29 +240,32 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"{path} at {offset}: payload does not match its digest")
                 number = lambda k: int(fields[k]) if k in fields else None
-                rows.append((number("x-page-id"), fields["warc-target-uri"], size, digest, kind, number("x-refers-to-page-id"), payload if kind == "response" else None))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                rows.append((number("x-page-id"), fields["warc-target-uri"], size, digest, kind, number("x-refers-to-page-id"), payload if payloads and kind == "response" else None))
+                held += len(payload) if payloads else 0
+                if held >= _HELD:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
         if source:
             source.close()
 
-    return index.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return index.mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
     """Write, normalise, and read back; the monolithic files go once they are rewritten."""
     spark = pages.sparkSession
     raw = scratch(spark, "warc-raw")
     manifest = normalise(write_archives(pages, raw), scratch(spark, "warc"))
     remove(spark, raw)
-    return read_archives(manifest)
+    return read_archives(manifest, payloads)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     from lexatlas.runtime import table
 
-    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """
