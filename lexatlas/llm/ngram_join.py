@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.llm import textkernel as tk
 from lexatlas.llm.components import components
+from lexatlas.llm.uneven import join_uneven
 from lexatlas.runtime import discard, lean, materialize, ship_package
 
 #: Similarity as a fraction.
@@ -516,13 +517,14 @@ def classified(docs: DataFrame) -> DataFrame:
     described = materialize(describe(docs), "sets")
     frequent = frequent_keys(described)
     rows = described.where("key is null").select("doc_id", "k", "n", "cls")
-    classes = materialize(described.where("key is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    classes = materialize(described.where("key is null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies")), "classes")
     roots = materialize(link_classes(docs, classes, frequent), "roots")
     order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "cls")
     lead = roots.join(classes.select("cls", "first_id"), "cls").groupBy("root").agg(F.min(order).alias("first"))
     named = roots.join(lead, "root").select("cls", F.col("first.first_id").alias("component_id"), (F.col("cls") == F.col("first.cls")).alias("lead"))
-    own = classes.select("cls", "first_id").join(named, "cls", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("lead", F.lit(True)).alias("lead"))
-    full = rows.where("n > 0").join(own, "cls").select("doc_id", "k", "n", "cls", "component_id", "lead")
+    own = classes.select("cls", "first_id", "copies").join(named, "cls", "left")
+    own = materialize(own.select("cls", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("lead", F.lit(True)).alias("lead"), "copies"), "named")
+    full = join_uneven(rows.where("n > 0"), own, ["cls"], "copies").select("doc_id", "k", "n", "cls", "component_id", "lead")
     out = full.unionByName(rows.where("n = 0").select("doc_id", "k", "n", "cls", F.col("doc_id").alias("component_id"), F.lit(True).alias("lead")))
     return materialize(out, "components")
 

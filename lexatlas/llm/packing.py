@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import tokens
-from lexatlas.runtime import ship_package
+from lexatlas.runtime import lean, ship_package
 
 CAPACITY = 1024
 END_ID = 0
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         if (out := flush(True)) is not None:
             yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.runtime import ship_package
+from lexatlas.runtime import lean, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # (kind, start, end)
@@ -317,13 +318,19 @@ def train(count: int = 260, epochs: int = 12, seed: int = 11, l2: float = 2e-3)
 def all_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     """(base spans, spans the CRF adds)."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     added = []
     for lo, hi in windows(text):
         for k, a, b in decode(w, text, lo, hi):
-            if not any(x < b and a < y for x, y in taken):
+            at = bisect_left(taken, (b, 0))  # stretches that begin before b
+            if not at or taken[at - 1][1] <= a:
                 added.append((k, a, b))
-                taken.append((a, b))
+                taken.insert(at, (a, b))
     return base, added
 
 
@@ -363,7 +370,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 added.append(row(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPAN), pa.array(added, _SPAN)], names=["doc_id", "base", "added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {_SPAN_SQL}, added {_SPAN_SQL}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, base {_SPAN_SQL}, added {_SPAN_SQL}")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -386,7 +393,7 @@ def redact(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
-    out = docs.mapInArrow(run, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))).toDF(*names)
+    out = docs.mapInArrow(lean(run), ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))).toDF(*names)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import textkernel as tk
-from lexatlas.runtime import ship_package
+from lexatlas.runtime import lean, ship_package
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_LABELLED = 12_000
@@ -119,7 +119,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in x.T)], names=[id_col, *STATS])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Path = tuple[tuple[int, bool, float], ...]  # (statistic, is above, threshold)
@@ -262,7 +262,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_la
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in x.T)], names=[*(f"c{i}" for i in range(len(names))), *fields])
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    beside = docs.mapInArrow(run, kinds + ", " + ", ".join(f"{f} double" for f in fields))
+    beside = docs.mapInArrow(lean(run), kinds + ", " + ", ".join(f"{f} double" for f in fields))
     named = beside.toDF(*(f"c{i}" for i in range(len(names))), *STATS)
     kept = named.where(compile_rules(model) >= threshold)
     return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -17,6 +17,8 @@ QUERIES = {
     "op10_quality_rule_ensemble": quality_rules.op10,
 }
 ORACLES: dict[str, str] = {
+    "op1_signature_tree_jaccard_join": ngram_join.OP1_SQL,
+    "op5_deep_shallow_suffix_dedup": suffix_dedup.OP5_SQL,
     "op4_norm_sorted_top_k": topk.OP4_SQL,
     "op9_warc_gzip_normaliser": warc.OP9_SQL,
 }

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 _KEY = "A-Za-z0-9+/_-"
 CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])[{_KEY}]{{12,}}+={{0,2}}"
 NEIGHBOURHOOD = 40
+#: Hits of a text whose positions are added up together.
+RUN = 512
 
 #: Fixed word lists of the features.
 DICTIONARY = (
@@ -50,7 +52,12 @@ def candidates(docs: DataFrame, path_col: str | None = "source") -> DataFrame:
     found = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hit"), F.split("text", CANDIDATE, -1).alias("gap"))
     # what stands before hit i: gaps 0..i and hits 0..i-1
     size = F.transform("hit", lambda h, i: F.length(h) + F.length(F.col("gap")[i]))
-    ends = F.aggregate(size, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["ends"], F.array(a["at"] + x)).alias("ends")))["ends"]
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    # sums of whole runs of RUN hits, sums before each run, and the hits of the own run: no array grows hit by hit
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("size") - 1) / RUN).cast("int")), lambda r: total(F.slice("size", r * RUN + 1, RUN)))
+    before = F.transform("runs", lambda _, r: total(F.slice("runs", F.lit(1), r)))
+    ends = F.transform("size", lambda _, i: F.col("sums")[F.floor(i / RUN).cast("int")] + total(F.slice("size", i - i % RUN + 1, i % RUN + 1)))
+    found = found.withColumn("size", size).withColumn("runs", runs).withColumn("sums", before)
     zipped = F.zip_with("hit", F.sequence(F.lit(0), F.size("hit") - 1), lambda h, i: F.struct(h.alias("candidate"), i.alias("i"), F.substring(F.reverse(F.col("gap")[i]), F.lit(1), F.lit(NEIGHBOURHOOD)).alias("back"), F.substring(F.col("gap")[i + 1], F.lit(1), F.lit(NEIGHBOURHOOD)).alias("after")))
     each = found.withColumn("ends", ends).select("doc_id", "path", "ends", F.explode(zipped).alias("c"))
     end = F.col("ends")[F.col("c.i")]

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import textkernel as tk
+from lexatlas.llm.uneven import join_uneven
 from lexatlas.runtime import discard, lean, materialize, ship_package
 
 LENGTH = 100
@@ -247,8 +248,9 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """k of the documents of at least LENGTH bytes whose whole text an earlier document has."""
     meta = rows.where(F.col("n") >= LENGTH).select("doc_id", "k", "t", "u", "n")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
-    first = meta.groupBy("t", "u", "n").agg(F.min(order).alias("f"), F.countDistinct("k").alias("c")).where("c > 1").select("t", "u", "n", F.col("f.k").alias("first"))
-    return materialize(meta.join(first, ["t", "u", "n"]).where("k <> first").select("k").distinct(), "copies")
+    first = meta.groupBy("t", "u", "n").agg(F.min(order).alias("f"), F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("c")).where("a <> b")
+    first = materialize(first.select("t", "u", "n", F.col("f.k").alias("first"), "c"), "copied-texts")
+    return materialize(join_uneven(meta, first, ["t", "u", "n"], "c").where("k <> first").select("k").distinct(), "copies")
 
 
 def small(keys: DataFrame) -> DataFrame:

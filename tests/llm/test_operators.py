@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexatlas.llm import decontaminate, ngram_join, packing, pii, quality_rules, quotes, secrets, suffix_dedup, tokens, topk, warc
+from lexatlas.llm import decontaminate, ngram_join, packing, pii, quality_rules, quotes, secrets, suffix_dedup, tokens, topk, uneven, warc
 from lexatlas.llm import textkernel as tk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cls string, k long"
@@ -81,6 +81,28 @@ def test_jaccard_join_empty_and_repeated(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 5), (5, 5), (5, 5), (9, 9)]
 
 
+def test_one_of_each_tells_texts_apart(spark):
+    """Rows that share an id stay or go by their own text; the smallest id of a component stays, without an id only where there is none."""
+    text, other = "one two three four five six", "another text that nobody else has at all"
+    rows = [(1, text), (1, text), (5, text + "!"), (5, other), (7, text.upper()), (None, text), (None, "words of a row without id"), (None, "Words of a row without id"), (9, ""), (9, None), (1, text.upper())]
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(documents(spark, rows)).collect()]
+    assert len(kept) == 6 and {(5, other), (9, ""), (9, None), (5, text + "!")} <= set(kept)  # "six!" is another shingle of two
+    assert sum(t.lower() == text for i, t in kept if t and i == 1) == 1 and sum(i is None for i, _ in kept) == 1
+
+
+@pytest.mark.parametrize("bucket,hold,broadcast", [(2, 1 << 17, 1_000_000), (3, 4, 10), (200, 6, 0)])
+def test_size_bounds_change_no_result(spark, monkeypatch, bucket, hold, broadcast):
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST", broadcast)
+    monkeypatch.setattr(ngram_join, "MAX_FREQUENT", 40)
+    monkeypatch.setattr(uneven, "LEAST_ROWS", bucket)  # from here on a class's rows are not shuffled
+    links = ngram_join.bucket_links
+    monkeypatch.setattr(ngram_join, "bucket_links", lambda keys: links(keys, hold))
+    rows = corpus(7, 16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(documents(spark, rows)).collect()}
+    assert got == components(rows)
+
+
 def test_tree_is_exact():
     r = np.random.default_rng(0)
     base = [np.unique(r.integers(0, 1 << 62, 60, dtype=np.uint64)) for _ in range(4)]
@@ -190,22 +212,26 @@ def test_wand_equals_exhaustive_scoring():
         assert all(s == pytest.approx(score[k]) for k, s in got.items())
 
 
-def test_top_k(spark):
+def brute_top_k(vecs, k, every=20):
+    """Every row of an id that ``every`` divides against every other row; rows may share an id."""
+    rows = [(i, [int(np.floor(float(np.float32(x)) * 64)) for x in v]) for i, v in vecs if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (i, q) in enumerate(rows):
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for m, (j, c) in enumerate(rows) if m != n)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard,block", [(3, 16), (1000, 4096)])
+def test_top_k(spark, monkeypatch, shard, block):
     r = np.random.default_rng(2)
-    vecs = [(i, r.normal(size=8).astype(float).tolist()) for i in range(150)] + [(500, [0.5] * 8), (501, [0.5] * 8), (40, [1.0] * 8), (502, None), (503, [None] * 8), (504, [float("nan")] * 8), (None, [1.0] * 8), (505, [0.25] * 3), (506, [])]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
-    got = [tuple(x) for x in topk.top_k(df, 5, 20, query_block=3, candidate_block=16).orderBy("query_id", "rank").collect()]
-    best = {}
-    for i, v in vecs:
-        if i is None or v is None or any(x is None or x != x for x in v):
-            continue
-        q = [int(np.floor(float(np.float32(x)) * 64)) for x in v]
-        best[i] = min(best.get(i, q), q)
-    want = []
-    for i in sorted(x for x in best if x % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(best[i], c, strict=False)), j) for j, c in best.items() if j != i)[:5]
-        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
-    assert got == want
+    vecs = [(i, (r.normal(size=8) * r.choice((0.2, 1, 3))).tolist()) for i in range(150)] + [(500, [0.5] * 8), (501, [0.5] * 8), (40, [1.0] * 8), (40, [1.0] * 8), (502, None), (503, [None] * 8), (504, [float("nan")] * 8), (None, [1.0] * 8), (505, [0.25] * 3), (506, []), (520, [0.0] * 8), (507, [float("inf")] * 8)]
+    monkeypatch.setattr(topk, "SEED", 30)
+    monkeypatch.setattr(topk, "SCANS", 2)
+    monkeypatch.setattr(topk, "STEP", 5)
+    df = spark.createDataFrame([(*v, "x", 1.5) for v in vecs], "vec_id long, embedding array<float>, rank string, score double")
+    assert sorted(tuple(x) for x in topk.top_k(df, 5, 20, shard=shard, block=block).collect()) == brute_top_k(vecs, 5)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
@@ -234,11 +260,30 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     rows += [(100, None), (101, ""), (102, "x" * 99), (103, "ab" * 200), (104, "é" * 150), (105, rows[3][1]), (106, rows[3][1]), (107, passages[3] * 3), (108, "y" * 100), (109, "y" * 101)]
     r.shuffle(rows)
     monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST", 10 if hot == 3 else 1000)
+    monkeypatch.setattr(uneven, "LEAST_ROWS", 2 if hot == 3 else 1000)
+    if hot == 3:  # every document is looked at for hot hashes, and most are
+        monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+        monkeypatch.setattr(suffix_dedup, "OFTEN", 4)
+        monkeypatch.setattr(suffix_dedup, "HOLD", 50)
     got = suffix_dedup.deduplicate(documents(spark, rows)).select("doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("gone"), F.size("removed").alias("spans"), "kept_sha256").collect()
     assert {x.doc_id: (x.n_bytes, x.gone, x.spans, x.kept_sha256) for x in got} == brute_dedup(rows)
     assert suffix_dedup.deduplicate(documents(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_null_ids_and_repeated_rows(spark):
+    r = random.Random(12)
+    a, b = words_of(r, 40), words_of(r, 40)
+    rows = [(None, a + b), (3, a), (3, a), (3, b + a), (None, b), (7, a)]
+    got = suffix_dedup.deduplicate(documents(spark, rows)).select("doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("gone")).collect()
+    assert len(got) == len(rows)
+    out = sorted((x.doc_id or 99, x.n_bytes, x.gone) for x in got)
+    by = {n: [g for i, m, g in out if (i, m) == n] for n in {(i, m) for i, m, _ in out}}
+    na, nb = len(a), len(b)
+    assert by[7, na] == [na] and by[99, na + nb][0] > 100 and by[99, nb] == [nb]  # later than all others
+    assert len(by[3, na]) == 2 and len(set(by[3, na])) == 1  # rows equal in id and text are one document
+    assert sorted((by[3, na][0], by[3, na + nb][0])) == [0, na]  # and of two texts under an id one comes first
+
+
 def test_deep_shallow_sort():
     r = random.Random(4)
     strings = [bytes(r.choice(b"ab\x00") for _ in range(r.choice((3, 30, 60)))) for _ in range(300)] + [b"a" * 40, b"a" * 50, b"a" * 50, b""]
