@@ -252,6 +252,27 @@ def test_neighbour_counts_are_summed_before_the_cut(spark):
     assert substitutes.DistributionalProvider(tokens).predictions(contexts.where("context_id = '0'"), 1).where("masked").first().term == "mid"
 
 
+def test_questions_are_answered_where_they_are(spark, monkeypatch):
+    """Nothing is exchanged for the lists but the index, whose words and files are many here."""
+    monkeypatch.setattr(substitutes.neighbours, "BUCKET", 150)
+    monkeypatch.setattr(substitutes.neighbours, "PART", 9)
+    r = random.Random(3)
+    word = lambda: f"w{min(int(r.expovariate(0.12)), 60)}"
+    docs = [(i, [word() for _ in range(30)]) for i in range(40)] + [(40, []), (41, ["w1"])]
+    asked = [(str(i), word(), word(), word()) for i in range(60)] + [("60", None, "w1", "none")]
+    contexts = spark.createDataFrame(asked, "context_id string, left string, target string, right string")
+    listed = substitutes.substitutes(substitutes.DistributionalProvider(spark.createDataFrame(docs, "doc_id long, forms array<string>")), contexts, 6, min_length=3)
+    assert "Exchange" not in listed._jdf.queryExecution().executedPlan().toString()
+    n = Counter(p for _, forms in docs for p in zip(forms, forms[1:], strict=False))
+    vocabulary, got = {w for _, forms in docs for w in forms}, dict(listed.collect())
+    for i, left, target, right in asked:
+        want = []
+        for beside in (1, 0):
+            score = {t: n[left, t] + n[t, right] + beside * (n[target, t] + n[t, target]) for t in vocabulary}
+            want += [t for _, t in sorted((-s, t) for t, s in score.items() if s)[:13] if len(t) >= 3][:3]
+        assert got.get(i, []) == want
+
+
 def test_entity_senses_read_fifty_substitutes(spark, monkeypatch):
     outside, name = ["O"], ["I", "PER"]
     rows = [(i, ["pre", f"word{i}", "post"], [outside] * 3) for i in range(60)] + [(60, ["pre", "Smith", "post"], [outside, name, outside])]
