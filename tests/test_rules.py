@@ -128,6 +128,18 @@ def test_distributed_factors_agree(spark):
     assert one and one == pick(factorize.factorize(pairs, min_size=2, objs_ge_atts=True, max_local=5))
 
 
+def test_equal_objects_are_factorised_as_one(spark, monkeypatch):
+    """Copies of objects do not make a table too large for one task, nor change anything but sizes."""
+    monkeypatch.setattr(factorize, "_distributed", None)
+    r = random.Random(5)
+    rows = {f"o{i}": {f"a{r.randrange(6)}" for _ in range(3)} for i in range(400)}
+    pairs = spark.createDataFrame([(o, a) for o, own in rows.items() for a in own], "obj string, att string")
+    for least, wide in ((0, False), (2, True), (40, False)):
+        got = factorize.factorize(pairs, 0.9, least, wide, max_local=300).orderBy("i").collect()
+        want = list(factorize.factors_of(rows, 0.9, least, wide))
+        assert [(x.extent, x.intent, round(x.score, 9), round(x.covered, 9)) for x in got] == [(e, i, round(s, 9), round(c, 9)) for e, i, s, c in want]
+
+
 def test_factors_pass_through_small_concepts():
     """Every single attribute has a large extent, and only pairs of attributes may leave."""
     rows = {f"o{i:02}": {f"a{i % 4}", f"b{i % 5}", f"c{i % 3}"} for i in range(60)}
