@@ -9,28 +9,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def log_gamma(x: Column) -> Column:
+    """Of numbers from 1 on, by Stirling's series ten places further."""
+    y = x + 10
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    product = x
+    for i in range(1, 10):
+        product = product * (x + i)
+    return series - F.ln(product)
+
+
 def binomial_tail(size: Column, share: Column, common: Column) -> Column:
     """Over- or under-representation of ``common`` hits among ``size`` draws at rate ``share``.
 
     P(X >= common) where common/size exceeds the rate, else -P(X <= common).
-    One pass over 0..size carries the log mass by its recurrence, so the work
-    is linear in ``size`` and nothing underflows.
+    The mass at ``common`` is computed by itself and carried outwards, where masses fall; 10 deviations and
+    60 numbers on, what is left is below a double's precision (Bernstein), so the work grows with the deviation.
     """
-    size, common = size.cast("int"), common.cast("int")
+    size, common = size.cast("double"), common.cast("double")
     p = share.cast("double")
     over = common / size > p
-    odds = F.ln(p) - F.ln(1 - p)
-    begin = F.struct((size * F.ln(1 - p)).alias("mass"), F.lit(0.0).alias("total"))
-
-    def step(a: Column, k: Column) -> Column:
-        inside = F.when(over, k >= common).otherwise(k <= common)
-        total = a["total"] + F.when(inside, F.exp(a["mass"])).otherwise(0.0)
-        return F.struct((a["mass"] + F.ln((size - k) / (k + 1)) + odds).alias("mass"), total.alias("total"))
-
-    # the mass after the last term would need ln(0); the last term is added apart
-    body = F.aggregate(F.sequence(F.lit(0), size - 1), begin, step)
-    last = F.when(F.when(over, common <= size).otherwise(common >= size), F.exp(size * F.ln(p))).otherwise(0.0)
-    inner = body["total"] + last
+    mass = log_gamma(size + 1) - log_gamma(common + 1) - log_gamma(size - common + 1) + common * F.ln(p) + (size - common) * F.ln(1 - p)
+    n = F.least(F.when(over, size - common).otherwise(common), F.ceil(10 * F.sqrt(size * p * (1 - p))) + 60).cast("int")
+
+    def step(a: Column, i: Column) -> Column:
+        up = (size - common - i + 1) / (common + i) * (p / (1 - p))
+        down = (common - i + 1) / (size - common + i) * ((1 - p) / p)
+        term = a["term"] * F.when(over, up).otherwise(down)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    further = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    inner = F.exp(mass) * F.aggregate(further, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), step)["total"]
     edge = F.when(p <= 0, F.when(common == 0, 1.0).otherwise(0.0)).otherwise(F.when(common == size, 1.0).otherwise(0.0))
     tail = F.when((p <= 0) | (p >= 1), edge).otherwise(inner)
     return F.when(over, tail).otherwise(-tail)
