@@ -41,7 +41,8 @@ def experiment_metrics(enriched: DataFrame, by: list[str], threshold: float = 0.
 def experiment_rows(enriched: DataFrame, random_values: DataFrame, by: list[str], threshold: float = 0.05, deviations: float = 2.0) -> DataFrame:
     """One evaluation row per experiment: ``experiment_metrics`` and how the best p-values compare with those of random classes.
 
-    ``random_values``: by, best_p of every random class. Without any the three comparisons are 0.
+    ``random_values``: by, best_p of every random class. Without any the three comparisons are 0; where those there are have no density
+    (a single one, or equal ones), tail and divergence are null.
     """
     values = enriched.select(*by, F.col("best_p").alias("value"), F.lit(False).alias("is_random")).unionByName(random_values.select(*by, F.col("best_p").alias("value"), F.lit(True).alias("is_random")))
     some = random_values.where("best_p is not null").select(*by).distinct().withColumn("some", F.lit(True))
@@ -49,8 +50,8 @@ def experiment_rows(enriched: DataFrame, random_values: DataFrame, by: list[str]
     for part in (mean_tail(values, by), above_random(values, by, deviations), divergence(values, by)):
         out = out.join(part, by, "left")
     out = out.join(some, by, "left")
-    filled = lambda c, kind: F.when(F.col("some"), F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).cast(kind)
-    out = out.withColumns({"oddsratios_probs_vs_random_LIB": filled("tail", "double"), "above2std_of_oddsrations_vs_random_HIB": filled("above", "double"), "KL_vs_random_HIB": filled("kl", "double")})
+    filled = lambda c: F.when(F.col("some"), F.col(c)).otherwise(F.lit(0)).cast("double")
+    out = out.withColumns({"oddsratios_probs_vs_random_LIB": filled("tail"), "above2std_of_oddsrations_vs_random_HIB": F.coalesce(filled("above"), F.lit(0.0)), "KL_vs_random_HIB": filled("kl")})
     return out.drop("tail", "above", "kl", "some")
 
 

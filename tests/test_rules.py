@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexatlas.functions import stats, text
-from lexatlas.operators import classes, factorize, incidence, linking, mentions, nullmodel, senses, substitutes
+from lexatlas.operators import classes, evaluation, factorize, incidence, linking, mentions, nullmodel, senses, substitutes
 from lexatlas.plans import registry
 from lexatlas.sources import conll, tables
 
@@ -312,6 +312,13 @@ def test_tails_of_large_classes(spark):
             assert got[i] == pytest.approx(float(total if over else -total), rel=1e-9)
 
 
+def test_equal_random_values_have_no_density(spark):
+    enriched = spark.createDataFrame([(k, [str(k)], 2, p, p, 1.0) for k in (1, 2, 3) for p in (0.0, 0.1)], "k int, entities array<string>, n_broaders int, best_p double, top_p double, top_surprise double")
+    randoms = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, 0.1), (2, 0.3), (2, 0.2)], "k int, best_p double")
+    got = {r.k: (r.oddsratios_probs_vs_random_LIB, r.above2std_of_oddsrations_vs_random_HIB, r.KL_vs_random_HIB) for r in evaluation.experiment_rows(enriched, randoms, ["k"]).collect()}
+    assert got[1] == (None, 1.0, None) and got[3] == (0.0, 0.0, 0.0) and None not in got[2]
+
+
 def test_drop_rare(spark):
     pairs = spark.createDataFrame([(f"o{i}", "x") for i in range(5)] + [("o0", "y"), ("o1", "z"), ("o2", "z")], "obj string, att string")
     assert {r.att for r in incidence.drop_rare(pairs).collect()} == {"x", "z"}
