@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import stats, text
 from lexatlas.operators import classes, evaluation, factorize, incidence, linking, mentions, nullmodel, senses, substitutes
-from lexatlas.plans import registry
+from lexatlas.plans import exchange, registry
 from lexatlas.sources import conll, tables
 
 
@@ -319,6 +319,28 @@ def test_equal_random_values_have_no_density(spark):
     assert got[1] == (None, 1.0, None) and got[3] == (0.0, 0.0, 0.0) and None not in got[2]
 
 
+def test_a_corpus_of_several_files(spark, monkeypatch):
+    """No corpus is written or numbered by one task."""
+    docs = [(i, [f"w{i}.{j}" if j % 3 else f"w{i}." for j in range(5)]) for i in range(40)]
+    tokens = spark.createDataFrame(docs, "doc_id long, forms array<string>").withColumn("tags", F.transform("forms", lambda x: F.array(F.lit("O"))))
+    monkeypatch.setattr(exchange.d, "token_arrays", lambda *_: tokens)
+    many = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in many}
+    for name, value in many.items():
+        spark.conf.set(name, value)
+    path = exchange._written(spark, "", " ", "")
+    for name, value in before.items():
+        spark.conf.set(name, value)
+    read = conll.read_lines(spark, path, folders=True)
+    assert read.select("corpus_id").distinct().count() == 4 < read.select("stretch").distinct().count()
+    got = exchange._read_back(conll.read_conll(spark, path, ("form", "tag"), blanks_separate=True, folders=True)).orderBy("corpus_id", "tok_idx").collect()
+    for part in range(4):
+        forms = [f for i, own in docs if i % 4 == part for f in own]
+        own = [r for r in got if r.corpus_id == part]
+        assert [(r.tok_idx, r.form) for r in own] == list(enumerate(forms))
+        assert [r.sent_idx for r in own] == [sum(f.endswith(".") for f in forms[:i]) for i in range(len(forms))]
+
+
 def test_drop_rare(spark):
     pairs = spark.createDataFrame([(f"o{i}", "x") for i in range(5)] + [("o0", "y"), ("o1", "z"), ("o2", "z")], "obj string, att string")
     assert {r.att for r in incidence.drop_rare(pairs).collect()} == {"x", "z"}
