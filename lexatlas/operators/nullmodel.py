@@ -107,7 +107,8 @@ def random_candidates(candidates: DataFrame, num_random: int, seed: int = 0, spa
     sized = candidates.where(F.size("entities") > 0).select(*by, "cand", F.size("entities").cast("long").alias("n"), F.md5(F.col("cand").cast("string")).alias("h"))
     bounds = _running(sized, by, ["h", "cand"], F.col("n"))
     slots = bounds.select(*by, "cand", F.explode(F.sequence(F.col("__sum") - F.col("n") + 1, F.col("__sum"))).alias("at"))
-    placed = dealt.join(slots, [*by, "at"]).groupBy(*by, "replicate", "cand").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    # a slot for each entity, which Spark takes for as small as the table of classes it is exploded from: no broadcast
+    placed = dealt.join(slots.hint("merge"), [*by, "at"]).groupBy(*by, "replicate", "cand").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
     placed = materialize(placed, "deals")
     doubles = placed.where(F.size(F.array_distinct("entities")) < F.size("entities")).select(*by, "replicate").distinct()
     columns = [*by, "replicate", "cand", "entities"]

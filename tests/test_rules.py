@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from decimal import Decimal, localcontext
 from itertools import combinations
@@ -341,6 +342,21 @@ def test_a_corpus_of_several_files(spark, monkeypatch):
         assert [r.sent_idx for r in own] == [sum(f.endswith(".") for f in forms[:i]) for i in range(len(forms))]
 
 
+def test_slots_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(nullmodel, "materialize", seen)
+    found = nullmodel.random_candidates(spark.createDataFrame([(f"c{i}", [f"e{j}" for j in range(i, i + 9)]) for i in range(5)], "cand string, entities array<string>"), 2)
+    assert sorted(map(len, (r.entities for r in found.collect()))) == [9] * 10
+    final = plans[0].split("Initial Plan")[0]
+    assert re.search(r"SortMergeJoin[^\n]*\[at#", final) and not re.search(r"BroadcastHashJoin[^\n]*\[at#", final)
+
+
 def test_drop_rare(spark):
     pairs = spark.createDataFrame([(f"o{i}", "x") for i in range(5)] + [("o0", "y"), ("o1", "z"), ("o2", "z")], "obj string, att string")
     assert {r.att for r in incidence.drop_rare(pairs).collect()} == {"x", "z"}
