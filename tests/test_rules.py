@@ -357,6 +357,13 @@ def test_slots_are_not_broadcast(spark, monkeypatch):
     assert re.search(r"SortMergeJoin[^\n]*\[at#", final) and not re.search(r"BroadcastHashJoin[^\n]*\[at#", final)
 
 
+def test_few_files_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(8).selectExpr("id as doc_id", "'A word' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(8).selectExpr("id as p_partkey", "'b' as p_brand", "'t' as p_type", "1 as p_size", "'a ring' as p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for rows in (registry.d.token_arrays(spark, str(tmp_path)), registry.d.incidence(spark, str(tmp_path))):
+        assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_drop_rare(spark):
     pairs = spark.createDataFrame([(f"o{i}", "x") for i in range(5)] + [("o0", "y"), ("o1", "z"), ("o2", "z")], "obj string, att string")
     assert {r.att for r in incidence.drop_rare(pairs).collect()} == {"x", "z"}
